@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference reads finished files only: it has no stream, watermark, time
+window over unbounded input or state (see README). No streaming operator is
+built. Every operator here is a pure function of DataFrames, so the same
+functions run unchanged on each micro-batch of a ``foreachBatch`` sink if
+a user feeds events from ``readStream``; nothing in this package needs it.
+"""
