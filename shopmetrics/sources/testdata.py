@@ -9,7 +9,7 @@ which has an exact DuckDB counterpart in ``shopmetrics.plans.oracle``:
 =================  ===========================================================
 canonical          derived from
 =================  ===========================================================
-events.session_id  ``user_id || '-' || yyyy-MM-dd(ts)``: one session per user-day
+events.session_id  ``user_id * 1000000 + days since 1970 of ts``: one session per user-day
 events.device_type ``k`` of the JSON ``props``: < 52 mobile, < 90 desktop, else tablet
 traffic_source     ``customer.c_mktsegment`` of the event's user
 funnel stages      view -> click -> signup -> purchase (``error`` is outside)
@@ -35,6 +35,14 @@ DEVICE_CUTS = ((52, "mobile"), (90, "desktop"))
 DEVICE_OTHER = "tablet"
 
 
+SESSION_STRIDE = 1_000_000  # days per user in the session key: no two users' keys meet
+
+
+def session_key(user: str, ts: str):
+    """A BIGINT session key per user-day: cheap to build and to hash, unlike text."""
+    return F.col(user) * SESSION_STRIDE + F.unix_date(F.to_date(ts))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,8 +58,7 @@ def events(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     etype = F.nullif(F.col("event_type"), F.lit("error")) if nulls else F.col("event_type")
     return ev.select(
         "event_id",
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
-        .alias("session_id"),
+        session_key("user_id", "ts").alias("session_id"),
         "user_id",
         etype.alias("event_type"),
         F.col("ts").alias("created_at"),
