@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import pct, safe_div
+from shopmetrics.functions.ratios import ident, pct, safe_div
 
 # The reference's stage order and its chart labels.
 DEFAULT_STAGES = ("home", "category", "product", "cart", "purchase")
@@ -44,8 +44,13 @@ def _dims(dim: str | Sequence[str] | None) -> list[str]:
     return [dim] if isinstance(dim, str) else list(dim)
 
 
-def _flag(event_col: str, unit: str, stage: str) -> Column:
-    return F.when((F.col(event_col) == stage) & F.col(unit).isNotNull(), 1).otherwise(0)
+def _flag_sql(event_col: str, unit: str, stage: str) -> str:
+    lit = "'" + stage.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CASE WHEN {ident(event_col)} = {lit} AND {ident(unit)} IS NOT NULL THEN 1 ELSE 0 END"
+
+
+def _flag_max(event_col: str, unit: str, stage: str, name: str) -> Column:
+    return F.expr(f"max({_flag_sql(event_col, unit, stage)})").alias(name)
 
 
 def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequence[str],
@@ -59,7 +64,7 @@ def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequ
     saves a regrouping step after the join.
     """
     dims = list(dims)
-    flags = [F.max(_flag(event_col, unit, s)).alias(f"f{i}") for i, s in enumerate(stages)]
+    flags = [_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)]
     if lookup is None:
         per_unit = events.groupBy(*dims, unit).agg(*flags)
     else:
@@ -78,8 +83,7 @@ def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequ
 def _overall_counts(events: DataFrame, unit: str, stages: Sequence[str], event_col: str) -> DataFrame:
     # Without a dimension, events outside the stages can be dropped at the scan.
     ev = events.where(F.col(event_col).isin(list(stages)) & F.col(unit).isNotNull())
-    per_unit = ev.groupBy(unit).agg(*[F.max(_flag(event_col, unit, s)).alias(f"f{i}")
-                                      for i, s in enumerate(stages)])
+    per_unit = ev.groupBy(unit).agg(*[_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)])
     # sum over no rows is NULL where COUNT(DISTINCT) gives 0.
     return per_unit.agg(*[F.coalesce(F.sum(f"f{i}"), F.lit(0)).cast("long").alias(f"n{i}")
                           for i in range(len(stages))])

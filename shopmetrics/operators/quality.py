@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.ratios import exact_mean, pct
@@ -171,13 +171,16 @@ def value_distribution(df: DataFrame, col: str, normalize: bool = False) -> Data
     """O23 — per value of ``col``: ``count`` and, with ``normalize``, ``share``
     of all rows (3 digits); most frequent first. NULL is a value of its own.
 
-    The share's denominator is a window over the already-aggregated counts
-    (one row per distinct value), not over the input rows.
+    The share's denominator is a global sum of the per-value counts: one row,
+    broadcast to the counts, so a column with many distinct values is never
+    gathered into a single task (an unpartitioned window would be). Both
+    branches read the same aggregation, whose shuffle Spark reuses.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        total = F.sum("count").over(Window.partitionBy())
-        counts = counts.withColumn("share", F.round(F.col("count").cast("double") / total, 3))
+        total = counts.agg(F.sum("count").alias("_total"))
+        counts = (counts.crossJoin(F.broadcast(total))
+                  .select(col, "count", F.round(F.col("count").cast("double") / F.col("_total"), 3).alias("share")))
     return counts.orderBy(F.col("count").desc(), F.col(col).asc_nulls_last())
 
 

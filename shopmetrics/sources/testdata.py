@@ -26,7 +26,6 @@ Everything stays lazy; only the columns a query uses are read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Fixed values of the test-table mapping (see the table above).
 TEST_STAGES = ("view", "click", "signup", "purchase")
@@ -38,40 +37,54 @@ DEVICE_OTHER = "tablet"
 SESSION_STRIDE = 1_000_000  # days per user in the session key: no two users' keys meet
 
 
-def session_key(user: str, ts: str):
-    """A BIGINT session key per user-day: cheap to build and to hash, unlike text."""
-    return F.col(user) * SESSION_STRIDE + F.unix_date(F.to_date(ts))
+def session_key(user: str, ts: str) -> str:
+    """A BIGINT session key per user-day (SQL): cheap to build and to hash, unlike text."""
+    return f"{user} * {SESSION_STRIDE} + unix_date(to_date({ts}))"
+
+
+# Declared schemas of the test tables read here: no footer-reading inference
+# pass at planning time (it cost more than running some of the queries).
+TEST_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+              "props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if name in TEST_SCHEMAS:
+        return spark.read.schema(TEST_SCHEMAS[name]).parquet(path)
+    return spark.read.parquet(path)
 
 
 def events(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """Canonical events. ``nulls=True`` turns ``error`` event types into NULLs,
     giving the null audits something to find."""
-    ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    device = F.when(k < DEVICE_CUTS[0][0], DEVICE_CUTS[0][1])
-    for cut, name in DEVICE_CUTS[1:]:
-        device = device.when(k < cut, name)
-    etype = F.nullif(F.col("event_type"), F.lit("error")) if nulls else F.col("event_type")
-    return ev.select(
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    device = " ".join(f"WHEN {k} < {cut} THEN '{name}'" for cut, name in DEVICE_CUTS)
+    etype = "nullif(event_type, 'error')" if nulls else "event_type"
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        session_key("user_id", "ts").alias("session_id"),
+        f"{session_key('user_id', 'ts')} AS session_id",
         "user_id",
-        etype.alias("event_type"),
-        F.col("ts").alias("created_at"),
-        device.otherwise(DEVICE_OTHER).alias("device_type"),
+        f"{etype} AS event_type",
+        "ts AS created_at",
+        f"CASE {device} ELSE '{DEVICE_OTHER}' END AS device_type",
         "value",
     )
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
-                    F.col("c_nationkey").alias("country"), F.col("c_acctbal").alias("balance"),
-                    F.col("c_mktsegment").alias("traffic_source"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id", "c_name AS name", "c_nationkey AS country", "c_acctbal AS balance",
+        "c_mktsegment AS traffic_source")
 
 
 def events_with_source(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
@@ -87,42 +100,39 @@ def events_with_source(spark: SparkSession, sf_dir: str, nulls: bool = False) ->
 
 def orders(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """Canonical orders. ``nulls=True`` turns status P into NULL."""
-    o = table(spark, sf_dir, "orders")
-    status = F.nullif(F.col("o_orderstatus"), F.lit("P")) if nulls else F.col("o_orderstatus")
-    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
-                    status.alias("status"), F.col("o_totalprice").alias("total_sale_price"),
-                    F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("priority"))
+    status = "nullif(o_orderstatus, 'P')" if nulls else "o_orderstatus"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id", "o_custkey AS user_id", f"{status} AS status",
+        "o_totalprice AS total_sale_price", "o_orderdate AS created_at", "o_orderpriority AS priority")
 
 
 def valid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).where(F.col("status").isin(list(TEST_VALID_STATUSES)))
+    statuses = ", ".join(f"'{s}'" for s in TEST_VALID_STATUSES)
+    return orders(spark, sf_dir).where(f"status IN ({statuses})")
 
 
 def order_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a ``home`` visit (session = order), for month-grain trends:
     the events table spans one month only."""
-    o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"),
-                    F.col("o_orderdate").alias("created_at"), F.lit("home").alias("event_type"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS session_id", "o_custkey AS user_id", "o_orderdate AS created_at",
+        "'home' AS event_type")
 
 
 def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events as orders: long-tailed prices, one session per user-day."""
-    ev = events(spark, sf_dir)
-    return ev.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("order_id"), "user_id", "session_id",
-        F.col("value").alias("total_sale_price"), "created_at")
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
+        "event_id AS order_id", "user_id", f"{session_key('user_id', 'ts')} AS session_id",
+        "value AS total_sale_price", "ts AS created_at")
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
-                     F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("sale_price"),
-                     F.col("l_returnflag").alias("status"), F.col("l_shipdate").alias("shipped_at"))
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_id", "l_linenumber AS line_number", "l_partkey AS product_id",
+        "l_extendedprice AS sale_price", "l_returnflag AS status", "l_shipdate AS shipped_at")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
-                    F.col("p_type").alias("category"), F.col("p_brand").alias("brand"),
-                    F.col("p_retailprice").alias("retail_price"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id", "p_name AS product_name", "p_type AS category", "p_brand AS brand",
+        "p_retailprice AS retail_price")
