@@ -21,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
+from shopmetrics.functions.sql import ident, pct_sql
 
-def ident(name: str) -> str:
-    """A column name as a quoted SQL identifier."""
-    return "`" + name.replace("`", "``") + "`"
+MONEY = "decimal(18,2)"
 
 
 def _col(c: Column | str) -> Column:
@@ -46,8 +43,7 @@ def pct(num: Column | str, den: Column | str, digits: int | None = 1) -> Column:
     ``digits=None`` leaves the value unrounded.
     """
     if isinstance(num, str) and isinstance(den, str):
-        ratio = f"100.0D * CAST({ident(num)} AS DOUBLE) / nullif(CAST({ident(den)} AS DOUBLE), 0.0D)"
-        return F.expr(ratio if digits is None else f"round({ratio}, {int(digits)})")
+        return F.expr(pct_sql(ident(num), ident(den), digits))
     ratio = F.lit(100.0) * _col(num).cast("double") / F.nullif(_col(den).cast("double"), F.lit(0.0))
     return ratio if digits is None else F.round(ratio, digits)
 

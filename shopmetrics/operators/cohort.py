@@ -17,11 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import exact_mean, pct
-from shopmetrics.functions.time import month_offset, period_start
+from shopmetrics.functions.ratios import exact_mean
+from shopmetrics.functions.sql import ident, lit, pct_sql
+from shopmetrics.functions.time import period_start
 
 # Order statuses that count as a real purchase in the reference.
 VALID_STATUSES = ("Complete", "Returned", "Shipped")
@@ -30,7 +31,7 @@ VALID_STATUSES = ("Complete", "Returned", "Shipped")
 def valid_orders(orders: DataFrame, status: str = "status",
                  status_in: Sequence[str] = VALID_STATUSES) -> DataFrame:
     """Orders whose status is in ``status_in`` (NULL status is not)."""
-    return orders.where(F.col(status).isin(list(status_in)))
+    return orders.where(f"{ident(status)} IN ({', '.join(lit(v) for v in status_in)})")
 
 
 def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "created_at",
@@ -42,20 +43,22 @@ def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "create
     ``status=None`` takes every row as a valid order.
     """
     src = orders if status is None else valid_orders(orders, status, status_in)
-    pairs = (src.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+    pairs = (src.where(f"{ident(user)} IS NOT NULL AND {ident(ts)} IS NOT NULL")
              .select(F.col(user).alias("_user"), period_start(orders, ts, "month").alias("order_month"))
              .distinct())
-    by_user = Window.partitionBy("_user")
-    offsets = (pairs.withColumn("cohort_month", F.min("order_month").over(by_user))
-               .withColumn("month_number", month_offset("order_month", "cohort_month"))
-               .where(F.col("month_number").between(0, horizon - 1)))
+    offsets = (pairs.selectExpr("order_month", "min(order_month) OVER (PARTITION BY _user) AS cohort_month")
+               .selectExpr("cohort_month",
+                           "CAST((year(order_month) - year(cohort_month)) * 12"
+                           " + (month(order_month) - month(cohort_month)) AS INT) AS month_number")
+               .where(f"month_number BETWEEN 0 AND {int(horizon) - 1}"))
     cells = offsets.groupBy("cohort_month", "month_number").agg(F.count(F.lit(1)).alias("retained_users"))
-    by_cohort = Window.partitionBy("cohort_month")
-    size = F.max(F.when(F.col("month_number") == 0, F.col("retained_users"))).over(by_cohort)
-    return (cells.withColumn("cohort_size", size)
-            .select("cohort_month", "cohort_size", "month_number", "retained_users",
-                    pct("retained_users", "cohort_size", 1).alias("retention_pct"))
-            .orderBy("cohort_month", "month_number"))
+    return (cells.selectExpr(
+        "cohort_month",
+        "max(CASE WHEN month_number = 0 THEN retained_users END) OVER (PARTITION BY cohort_month) AS cohort_size",
+        "month_number", "retained_users")
+        .selectExpr("cohort_month", "cohort_size", "month_number", "retained_users",
+                    f"{pct_sql('retained_users', 'cohort_size', 1)} AS retention_pct")
+        .orderBy("cohort_month", "month_number"))
 
 
 def cohort_matrix(retention: DataFrame, horizon: int = 12, min_months: int = 3,
@@ -69,11 +72,11 @@ def cohort_matrix(retention: DataFrame, horizon: int = 12, min_months: int = 3,
     """
     months = list(range(horizon))
     wide = retention.groupBy(cohort).pivot(month, months).agg(F.max(value))
-    filled = sum((F.col(str(m)).isNotNull().cast("int") for m in months), F.lit(0))
-    return wide.where(filled >= min_months).orderBy(cohort)
+    filled = " + ".join(f"CASE WHEN {ident(str(m))} IS NULL THEN 0 ELSE 1 END" for m in months)
+    return wide.where(f"{filled} >= {int(min_months)}").orderBy(cohort)
 
 
 def cohort_average(matrix: DataFrame, months: Sequence[int] = (1, 3)) -> DataFrame:
     """O08 — one row: ``cohorts`` kept and ``avg_month_{m}`` per month, NULLs skipped."""
     return matrix.agg(F.count(F.lit(1)).alias("cohorts"),
-                      *[exact_mean(F.col(str(m))).alias(f"avg_month_{m}") for m in months])
+                      *[exact_mean(str(m)).alias(f"avg_month_{m}") for m in months])

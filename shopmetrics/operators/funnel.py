@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import ident, pct, safe_div
+from shopmetrics.functions.sql import ident, lit, pct_sql
 
 # The reference's stage order and its chart labels.
 DEFAULT_STAGES = ("home", "category", "product", "cart", "purchase")
@@ -44,13 +44,15 @@ def _dims(dim: str | Sequence[str] | None) -> list[str]:
     return [dim] if isinstance(dim, str) else list(dim)
 
 
-def _flag_sql(event_col: str, unit: str, stage: str) -> str:
-    lit = "'" + stage.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"CASE WHEN {ident(event_col)} = {lit} AND {ident(unit)} IS NOT NULL THEN 1 ELSE 0 END"
+def _flag_max(event_col: str, unit: str, stage: str, name: str) -> Column:
+    flag = f"CASE WHEN {ident(event_col)} = {lit(stage)} AND {ident(unit)} IS NOT NULL THEN 1 ELSE 0 END"
+    return F.expr(f"max({flag})").alias(name)
 
 
-def _flag_max(event_col: str, unit: str, stage: str, name: str) -> Column:
-    return F.expr(f"max({_flag_sql(event_col, unit, stage)})").alias(name)
+def _sums(k: int, default_zero: bool = False) -> list[Column]:
+    if default_zero:  # sum over no rows is NULL where COUNT(DISTINCT) gives 0
+        return [F.expr(f"CAST(coalesce(sum(f{i}), 0) AS BIGINT)").alias(f"n{i}") for i in range(k)]
+    return [F.expr(f"CAST(sum(f{i}) AS BIGINT)").alias(f"n{i}") for i in range(k)]
 
 
 def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequence[str],
@@ -76,35 +78,36 @@ def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequ
         if not unit_determines_key:
             per_unit = per_unit.groupBy(*dims, unit).agg(
                 *[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))])
-    return per_unit.groupBy(*dims).agg(
-        *[F.sum(f"f{i}").cast("long").alias(f"n{i}") for i in range(len(stages))])
+    return per_unit.groupBy(*dims).agg(*_sums(len(stages)))
 
 
 def _overall_counts(events: DataFrame, unit: str, stages: Sequence[str], event_col: str) -> DataFrame:
     # Without a dimension, events outside the stages can be dropped at the scan.
-    ev = events.where(F.col(event_col).isin(list(stages)) & F.col(unit).isNotNull())
+    stage_list = ", ".join(lit(s) for s in stages)
+    ev = events.where(f"{ident(event_col)} IN ({stage_list}) AND {ident(unit)} IS NOT NULL")
     per_unit = ev.groupBy(unit).agg(*[_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)])
-    # sum over no rows is NULL where COUNT(DISTINCT) gives 0.
-    return per_unit.agg(*[F.coalesce(F.sum(f"f{i}"), F.lit(0)).cast("long").alias(f"n{i}")
-                          for i in range(len(stages))])
+    return per_unit.agg(*_sums(len(stages), default_zero=True))
 
 
-def _step_rates(stages: Sequence[str], counts: Sequence[str]) -> list[Column]:
-    return [pct(counts[i + 1], counts[i], 1).alias(f"pct_{stages[i]}_to_{stages[i + 1]}")
+def _step_rates(stages: Sequence[str]) -> list[str]:
+    return [f"{pct_sql(f'n{i + 1}', f'n{i}', 1)} AS {ident(f'pct_{stages[i]}_to_{stages[i + 1]}')}"
             for i in range(len(stages) - 1)]
 
 
+def _sorted_by_rate(df: DataFrame, rate: str, dims: list[str]) -> DataFrame:
+    return df.orderBy(F.col(rate).desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims])
+
+
 def funnel_overall(events: DataFrame, unit: str = "user_id", stages: Sequence[str] = DEFAULT_STAGES,
                    event_col: str = "event_type") -> DataFrame:
     """O01 — one row: ``stage_{i}_{s}`` units per stage, step rates (1 digit),
     ``overall_conversion_rate_pct`` (2 digits), last stage over first."""
     stages = list(stages)
-    counts = _overall_counts(events, unit, stages, event_col)
-    n = [f"n{i}" for i in range(len(stages))]
-    return counts.select(
-        *[F.col(n[i]).alias(f"stage_{i + 1}_{s}") for i, s in enumerate(stages)],
-        *_step_rates(stages, n),
-        pct(n[-1], n[0], 2).alias("overall_conversion_rate_pct"),
+    last = len(stages) - 1
+    return _overall_counts(events, unit, stages, event_col).selectExpr(
+        *[f"n{i} AS {ident(f'stage_{i + 1}_{s}')}" for i, s in enumerate(stages)],
+        *_step_rates(stages),
+        f"{pct_sql(f'n{last}', 'n0', 2)} AS overall_conversion_rate_pct",
     )
 
 
@@ -120,20 +123,14 @@ def funnel_long(events: DataFrame, unit: str = "user_id", stages: Sequence[str]
     labels = list(labels) if labels is not None else stages
     if len(labels) != len(stages):
         raise ValueError("labels and stages differ in length")
-    counts = _overall_counts(events, unit, stages, event_col)
     rows = []
     for i, label in enumerate(labels):
-        n_i = F.col(f"n{i}")
-        drop = (F.lit(None).cast("double") if i == 0
-                else F.round((F.lit(1.0) - safe_div(n_i, f"n{i - 1}")) * F.lit(100.0), 1))
-        rows.append(F.struct(
-            F.lit(i + 1).alias("stage_no"),
-            F.lit(label).alias("stage"),
-            n_i.alias("users"),
-            pct(n_i, "n0", 1).alias("conversion_from_top_pct"),
-            drop.alias("drop_off_pct"),
-        ))
-    return counts.select(F.inline(F.array(*rows)))
+        drop = ("CAST(NULL AS DOUBLE)" if i == 0
+                else f"round((1.0D - CAST(n{i} AS DOUBLE) / nullif(CAST(n{i - 1} AS DOUBLE), 0.0D)) * 100.0D, 1)")
+        rows.append(f"named_struct('stage_no', {i + 1}, 'stage', {lit(label)}, 'users', n{i}, "
+                    f"'conversion_from_top_pct', {pct_sql(f'n{i}', 'n0', 1)}, 'drop_off_pct', {drop})")
+    counts = _overall_counts(events, unit, stages, event_col)
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str = "user_id",
@@ -145,14 +142,15 @@ def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", un
     NULLs last, then by the dimension."""
     stages = list(stages)
     dims = _dims(dim)
+    last = len(stages) - 1
     counts = stage_counts(events, dims, unit, stages, event_col, lookup, lookup_key, unit_determines_key)
-    n = [f"n{i}" for i in range(len(stages))]
-    return (counts.select(
-        *dims,
-        *[F.col(n[i]).alias(f"users_{s}") for i, s in enumerate(stages)],
-        *_step_rates(stages, n),
-        pct(n[-1], n[0], 2).alias("overall_conversion_pct"),
-    ).orderBy(F.col("overall_conversion_pct").desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims]))
+    out = counts.selectExpr(
+        *[ident(d) for d in dims],
+        *[f"n{i} AS {ident(f'users_{s}')}" for i, s in enumerate(stages)],
+        *_step_rates(stages),
+        f"{pct_sql(f'n{last}', 'n0', 2)} AS overall_conversion_pct",
+    )
+    return _sorted_by_rate(out, "overall_conversion_pct", dims)
 
 
 def funnel_by_compact(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str = "user_id",
@@ -164,14 +162,15 @@ def funnel_by_compact(events: DataFrame, dim: str | Sequence[str] = "traffic_sou
     ``{penultimate}_to_{last}_pct`` (1 digit); sorted by conversion, descending."""
     stages = list(stages)
     dims = _dims(dim)
+    last = len(stages) - 1
     counts = stage_counts(events, dims, unit, stages, event_col, lookup, lookup_key, unit_determines_key)
-    n = [f"n{i}" for i in range(len(stages))]
-    return (counts.select(
-        *dims,
-        *[F.col(n[i]).alias(s) for i, s in enumerate(stages)],
-        pct(n[-1], n[0], 2).alias("conversion_pct"),
-        pct(n[-1], n[-2], 1).alias(f"{stages[-2]}_to_{stages[-1]}_pct"),
-    ).orderBy(F.col("conversion_pct").desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims]))
+    out = counts.selectExpr(
+        *[ident(d) for d in dims],
+        *[f"n{i} AS {ident(s)}" for i, s in enumerate(stages)],
+        f"{pct_sql(f'n{last}', 'n0', 2)} AS conversion_pct",
+        f"{pct_sql(f'n{last}', f'n{last - 1}', 1)} AS {ident(f'{stages[-2]}_to_{stages[-1]}_pct')}",
+    )
+    return _sorted_by_rate(out, "conversion_pct", dims)
 
 
 def funnel_by_device(events: DataFrame, dim: str | Sequence[str] = "device_type", unit: str = "user_id",
@@ -185,14 +184,15 @@ def funnel_by_device(events: DataFrame, dim: str | Sequence[str] = "device_type"
     if len(stages) < 3:
         raise ValueError("funnel_by_device needs at least three stages")
     dims = _dims(dim)
+    a, b, c = len(stages) - 3, len(stages) - 2, len(stages) - 1
     counts = stage_counts(events, dims, unit, stages, event_col)
-    n = [f"n{i}" for i in range(len(stages))]
-    return (counts.select(
-        *dims,
-        F.col(n[0]).alias(f"users_{stages[0]}"),
-        F.col(n[-1]).alias(f"users_{stages[-1]}"),
-        pct(n[-3], n[0], 1).alias(f"pct_reached_{stages[-3]}"),
-        pct(n[-2], n[-3], 1).alias(f"pct_{stages[-3]}_to_{stages[-2]}"),
-        pct(n[-1], n[-2], 1).alias(f"pct_{stages[-2]}_to_{stages[-1]}"),
-        pct(n[-1], n[0], 2).alias("overall_conversion_pct"),
-    ).orderBy(F.col("overall_conversion_pct").desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims]))
+    out = counts.selectExpr(
+        *[ident(d) for d in dims],
+        f"n0 AS {ident(f'users_{stages[0]}')}",
+        f"n{c} AS {ident(f'users_{stages[-1]}')}",
+        f"{pct_sql(f'n{a}', 'n0', 1)} AS {ident(f'pct_reached_{stages[a]}')}",
+        f"{pct_sql(f'n{b}', f'n{a}', 1)} AS {ident(f'pct_{stages[a]}_to_{stages[b]}')}",
+        f"{pct_sql(f'n{c}', f'n{b}', 1)} AS {ident(f'pct_{stages[b]}_to_{stages[c]}')}",
+        f"{pct_sql(f'n{c}', 'n0', 2)} AS overall_conversion_pct",
+    )
+    return _sorted_by_rate(out, "overall_conversion_pct", dims)

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.ratios import exact_mean, pct
+from shopmetrics.functions.sql import ident, lit, pct_sql
 
 
 def _null_sum(c: str) -> Column:
     # SUM(CASE WHEN c IS NULL THEN 1 ELSE 0 END): NULL on an empty table.
-    return F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long")
+    return F.expr(f"CAST(sum(CASE WHEN {ident(c)} IS NULL THEN 1 ELSE 0 END) AS BIGINT)")
 
 
 # --------------------------------------------------------------------------- O09
@@ -55,12 +56,12 @@ def null_audit(df: DataFrame, name: str, columns: Sequence[str] | None = None) -
     """
     cols = list(columns) if columns is not None else df.columns
     counts = df.agg(F.count(F.lit(1)).alias("_rows"),
-                    *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)])
-    pairs = ", ".join(f"'{c}', _n{i}" for i, c in enumerate(cols))
+                    *[F.expr(f"count_if({ident(c)} IS NULL)").alias(f"_n{i}") for i, c in enumerate(cols)])
+    pairs = ", ".join(f"{lit(c)}, _n{i}" for i, c in enumerate(cols))
     long = counts.select("_rows", F.expr(f"stack({len(cols)}, {pairs}) AS (column_name, null_count)"))
-    return long.where(F.col("null_count") > 0).select(
-        F.lit(name).alias("table_name"), "column_name", "null_count",
-        pct("null_count", "_rows", 2).alias("null_pct"))
+    return long.where("null_count > 0").selectExpr(
+        f"{lit(name)} AS table_name", "column_name", "null_count",
+        f"{pct_sql('null_count', '_rows', 2)} AS null_pct")
 
 
 def null_audit_tables(tables: dict[str, DataFrame]) -> DataFrame:

@@ -16,38 +16,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import MONEY, pct, safe_div
+from shopmetrics.functions.ratios import MONEY, exact_mean, pct
+from shopmetrics.functions.sql import ident, lit, pct_sql
 from shopmetrics.functions.time import period_start, period_text
-from shopmetrics.operators.cohort import VALID_STATUSES
+from shopmetrics.operators.cohort import VALID_STATUSES, valid_orders
 
 
 def _trend_base(events: DataFrame, orders: DataFrame, grain: str, visit_event: str,
                 session: str, user: str, ts: str, event_col: str,
                 order_id: str, order_user: str, order_ts: str, value: str,
                 status: str | None, status_in: Sequence[str]) -> DataFrame:
-    src = orders if status is None else orders.where(F.col(status).isin(list(status_in)))
+    src = orders if status is None else valid_orders(orders, status, status_in)
     per_orders = (src.groupBy(period_start(orders, order_ts, grain).alias("_p"))
                   .agg(F.count_distinct(order_id).alias("_orders"),
                        F.count_distinct(order_user).alias("_buyers"),
-                       F.sum(F.col(value).cast(MONEY)).alias("_rev"),
+                       F.expr(f"sum(CAST({ident(value)} AS {MONEY}))").alias("_rev"),
                        F.count(value).alias("_priced")))
-    per_visits = (events.where(F.col(event_col) == visit_event)
+    per_visits = (events.where(f"{ident(event_col)} = {lit(visit_event)}")
                   .groupBy(period_start(events, ts, grain).alias("_p"))
                   .agg(F.count_distinct(session).alias("total_sessions"),
                        F.count_distinct(user).alias("unique_visitors")))
     both = per_visits.join(per_orders, on="_p", how="left")
-    rev = F.coalesce(F.col("_rev"), F.lit(0).cast(MONEY)).cast("double")
-    prev = F.lag("total_revenue").over(Window.orderBy("_p"))
-    return both.select(
+    prev = "lag(total_revenue) OVER (ORDER BY _p)"
+    return both.selectExpr(
         "_p", "total_sessions", "unique_visitors",
-        F.coalesce("_orders", F.lit(0)).alias("total_orders"),
-        F.coalesce("_buyers", F.lit(0)).alias("unique_buyers"),
-        rev.alias("total_revenue"),
-        F.coalesce(safe_div(F.col("_rev").cast("double"), "_priced"), F.lit(0.0)).alias("avg_order_value"),
-    ).withColumn("_growth", F.lit(100.0) * (F.col("total_revenue") - prev) / F.nullif(prev, F.lit(0.0)))
+        "coalesce(_orders, 0) AS total_orders",
+        "coalesce(_buyers, 0) AS unique_buyers",
+        f"CAST(coalesce(_rev, CAST(0 AS {MONEY})) AS DOUBLE) AS total_revenue",
+        "coalesce(CAST(_rev AS DOUBLE) / nullif(CAST(_priced AS DOUBLE), 0.0D), 0.0D) AS avg_order_value",
+    ).selectExpr("*", f"100.0D * (total_revenue - {prev}) / nullif({prev}, 0.0D) AS _growth")
 
 
 def revenue_trend(events: DataFrame, orders: DataFrame, grain: str = "month", period: str | None = None,
@@ -68,12 +68,12 @@ def revenue_trend(events: DataFrame, orders: DataFrame, grain: str = "month", pe
     name = period or grain
     base = _trend_base(events, orders, grain, visit_event, session, user, ts, event_col,
                        order_id, order_user, order_ts, value, status, status_in)
-    return base.select(
-        F.col("_p").alias(name), "total_sessions", "unique_visitors", "total_orders", "unique_buyers",
-        F.round("total_revenue", 2).alias("total_revenue"),
-        F.round("avg_order_value", 2).alias("avg_order_value"),
-        pct("unique_buyers", "unique_visitors", 2).alias("visitor_conversion_pct"),
-        F.round("_growth", 1).alias("mom_revenue_growth_pct"),
+    return base.selectExpr(
+        f"_p AS {ident(name)}", "total_sessions", "unique_visitors", "total_orders", "unique_buyers",
+        "round(total_revenue, 2) AS total_revenue",
+        "round(avg_order_value, 2) AS avg_order_value",
+        f"{pct_sql('unique_buyers', 'unique_visitors', 2)} AS visitor_conversion_pct",
+        "round(_growth, 1) AS mom_revenue_growth_pct",
     ).orderBy(name)
 
 
@@ -105,12 +105,11 @@ def trend_summary(trend: DataFrame, period: str = "month", revenue: str = "total
                   conversion: str = "conversion_pct") -> DataFrame:
     """O19 — one row: ``total_revenue`` (2), ``avg_conversion_pct`` (mean of the
     per-period rates) and ``peak_{period}`` (highest revenue, earliest on ties)."""
-    peak_key = F.struct((-F.col(revenue)).alias("r"), F.col(period).alias("p"))
+    r, p = ident(revenue), ident(period)
     return trend.agg(
-        F.round(F.sum(F.col(revenue).cast(MONEY)).cast("double"), 2).alias("total_revenue"),
-        safe_div(F.sum(F.col(conversion).cast(MONEY)).cast("double"), F.count(conversion))
-        .alias("avg_conversion_pct"),
-        F.min_by(F.col(period), peak_key).alias(f"peak_{period}"),
+        F.expr(f"round(CAST(sum(CAST({r} AS {MONEY})) AS DOUBLE), 2)").alias("total_revenue"),
+        exact_mean(conversion).alias("avg_conversion_pct"),
+        F.expr(f"min_by({p}, named_struct('r', -{r}, 'p', {p}))").alias(f"peak_{period}"),
     )
 
 
@@ -119,4 +118,4 @@ def order_rollup(items: DataFrame, order_id: str = "order_id", price: str = "sal
     (sum of item prices, 2 digits)."""
     return items.groupBy(order_id).agg(
         F.count(F.lit(1)).alias("num_of_item"),
-        F.round(F.sum(F.col(price).cast(MONEY)).cast("double"), 2).alias("total_sale_price"))
+        F.expr(f"round(CAST(sum(CAST({ident(price)} AS {MONEY})) AS DOUBLE), 2)").alias("total_sale_price"))

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import MONEY, safe_div
-from shopmetrics.operators.cohort import VALID_STATUSES
+from shopmetrics.functions.ratios import MONEY
+from shopmetrics.functions.sql import ident, lit
+from shopmetrics.operators.cohort import VALID_STATUSES, valid_orders
 
 # The reference's tier bounds (right-closed) and labels.
 DEFAULT_BOUNDS = (0.0, 50.0, 150.0, 400.0)
@@ -26,16 +27,15 @@ DEFAULT_LABELS = ("Low (<$50)", "Mid ($50-$150)", "High ($150-$400)", "VIP (>$40
 DEFAULT_TIERS = tuple(zip(DEFAULT_LABELS, DEFAULT_BOUNDS[1:] + (None,)))
 
 
-def _tier(spend: Column, bounds: Sequence[float], labels: Sequence[str]) -> tuple[Column, Column]:
-    """(ordinal, label) of the right-closed tier; NULL at or below the first bound."""
+def _tier_sql(spend: str, bounds: Sequence[float], labels: Sequence[str]) -> tuple[str, str]:
+    """(ordinal, label) SQL of the right-closed tier; NULL at or below the first bound."""
     if len(labels) != len(bounds):
         raise ValueError("need one label per lower bound (the last tier is open-ended)")
-    no = F.when(spend <= F.lit(bounds[0]), F.lit(None).cast("int"))
-    label = F.when(spend <= F.lit(bounds[0]), F.lit(None).cast("string"))
-    for i in range(1, len(bounds)):
-        no = no.when(spend <= F.lit(bounds[i]), F.lit(i - 1))
-        label = label.when(spend <= F.lit(bounds[i]), F.lit(labels[i - 1]))
-    return no.otherwise(F.lit(len(bounds) - 1)), label.otherwise(F.lit(labels[-1]))
+    b = [repr(float(x)) + "D" for x in bounds]
+    no = " ".join(f"WHEN {spend} <= {b[i]} THEN {i - 1}" for i in range(1, len(b)))
+    label = " ".join(f"WHEN {spend} <= {b[i]} THEN {lit(labels[i - 1])}" for i in range(1, len(b)))
+    head = f"CASE WHEN {spend} <= {b[0]} THEN NULL "
+    return (f"{head}{no} ELSE {len(b) - 1} END", f"{head}{label} ELSE {lit(labels[-1])} END")
 
 
 def spend_segments(orders: DataFrame, user: str = "user_id", value: str = "total_sale_price",
@@ -45,21 +45,22 @@ def spend_segments(orders: DataFrame, user: str = "user_id", value: str = "total
     """O20 — per tier with at least one customer, in tier order: ``segment,
     customers, avg_spend, avg_orders, total_revenue`` (2),
     ``revenue_share_pct`` (1). Customers with a NULL key are left out."""
-    src = orders if status is None else orders.where(F.col(status).isin(list(status_in)))
-    per_user = (src.where(F.col(user).isNotNull()).groupBy(user)
-                .agg(F.sum(F.col(value).cast(MONEY)).alias("_spend"), F.count(order_id).alias("_orders")))
-    no, label = _tier(F.col("_spend"), bounds, labels)
-    tiers = (per_user.select(no.alias("_tier"), label.alias("segment"), "_spend", "_orders")
-             .where(F.col("_tier").isNotNull())
+    src = orders if status is None else valid_orders(orders, status, status_in)
+    per_user = (src.where(f"{ident(user)} IS NOT NULL").groupBy(user)
+                .agg(F.expr(f"sum(CAST({ident(value)} AS {MONEY}))").alias("_spend"),
+                     F.count(order_id).alias("_orders")))
+    no, label = _tier_sql("_spend", bounds, labels)
+    tiers = (per_user.selectExpr(f"{no} AS _tier", f"{label} AS segment", "_spend", "_orders")
+             .where("_tier IS NOT NULL")
              .groupBy("_tier", "segment")
              .agg(F.count(F.lit(1)).alias("customers"),
                   F.sum("_spend").alias("_rev"), F.sum("_orders").alias("_n")))
-    rev = F.col("_rev").cast("double")
-    all_rev = F.sum("_rev").over(Window.partitionBy()).cast("double")
-    return (tiers.select(
+    # The share's window runs over one row per tier (a handful), never over customers.
+    return (tiers.selectExpr(
         "_tier", "segment", "customers",
-        safe_div(rev, "customers").alias("avg_spend"),
-        safe_div("_n", "customers").alias("avg_orders"),
-        F.round(rev, 2).alias("total_revenue"),
-        F.round(F.lit(100.0) * rev / F.nullif(all_rev, F.lit(0.0)), 1).alias("revenue_share_pct"),
+        "CAST(_rev AS DOUBLE) / nullif(CAST(customers AS DOUBLE), 0.0D) AS avg_spend",
+        "CAST(_n AS DOUBLE) / nullif(CAST(customers AS DOUBLE), 0.0D) AS avg_orders",
+        "round(CAST(_rev AS DOUBLE), 2) AS total_revenue",
+        "round(100.0D * CAST(_rev AS DOUBLE) / nullif(CAST(sum(_rev) OVER () AS DOUBLE), 0.0D), 1)"
+        " AS revenue_share_pct",
     ).orderBy("_tier").drop("_tier"))

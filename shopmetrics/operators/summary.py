@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.ratios import MONEY, exact_mean
+from shopmetrics.functions.sql import ident, lit
 
 
 def kpi_summary(funnel: DataFrame, sources: DataFrame, matrix: DataFrame, segments: DataFrame,
@@ -27,26 +28,26 @@ def kpi_summary(funnel: DataFrame, sources: DataFrame, matrix: DataFrame, segmen
     - ``top_tier_revenue_share_pct``: the top tier's share (O20), 0.0 when absent;
     - ``valid_orders``, ``valid_revenue``: count and revenue of ``orders`` (already valid).
     """
-    drop_key = F.struct((-F.col("drop_off_pct")).alias("d"), F.col("stage_no").alias("n"))
+    d, n, st = "drop_off_pct", "stage_no", "stage"
     f = funnel.agg(
-        F.max_by("conversion_from_top_pct", "stage_no").alias("overall_conversion_pct"),
-        F.min_by(F.when(F.col("drop_off_pct").isNotNull(), F.col("stage")),
-                 F.when(F.col("drop_off_pct").isNotNull(), drop_key)).alias("worst_dropoff_stage"),
-        F.max("drop_off_pct").alias("worst_dropoff_pct"),
+        F.expr("max_by(conversion_from_top_pct, stage_no)").alias("overall_conversion_pct"),
+        F.expr(f"min_by(CASE WHEN {d} IS NOT NULL THEN {st} END, "
+               f"CASE WHEN {d} IS NOT NULL THEN named_struct('d', -{d}, 'n', {n}) END)").alias("worst_dropoff_stage"),
+        F.max(d).alias("worst_dropoff_pct"),
     )
-    rated = sources.where(F.col("conversion_pct").isNotNull())
-    src_key = F.struct((-F.col("conversion_pct")).alias("c"), F.col(source_col).alias("s"))
-    s = rated.agg(
-        F.min_by(source_col, src_key).alias("best_source"),
-        F.max("conversion_pct").alias("best_source_conversion_pct"),
-        F.max_by(source_col, src_key).alias("worst_source"),
-        F.min("conversion_pct").alias("worst_source_conversion_pct"),
+    c, src = "conversion_pct", ident(source_col)
+    key = f"named_struct('c', -{c}, 's', {src})"
+    s = sources.where(f"{c} IS NOT NULL").agg(
+        F.expr(f"min_by({src}, {key})").alias("best_source"),
+        F.max(c).alias("best_source_conversion_pct"),
+        F.expr(f"max_by({src}, {key})").alias("worst_source"),
+        F.min(c).alias("worst_source_conversion_pct"),
     )
-    m = matrix.agg(exact_mean(F.col(str(retention_month))).alias(f"month{retention_month}_retention_avg"))
-    g = segments.agg(F.coalesce(F.max(F.when(F.col("segment") == top_tier, F.col("revenue_share_pct"))),
-                                F.lit(0.0)).alias("top_tier_revenue_share_pct"))
+    m = matrix.agg(exact_mean(str(retention_month)).alias(f"month{retention_month}_retention_avg"))
+    g = segments.agg(F.expr(f"coalesce(max(CASE WHEN segment = {lit(top_tier)} THEN revenue_share_pct END), 0.0D)")
+                     .alias("top_tier_revenue_share_pct"))
     o = orders.agg(F.count(F.lit(1)).alias("valid_orders"),
-                   F.round(F.coalesce(F.sum(F.col(value).cast(MONEY)), F.lit(0).cast(MONEY)).cast("double"), 2)
+                   F.expr(f"round(CAST(coalesce(sum(CAST({ident(value)} AS {MONEY})), 0) AS DOUBLE), 2)")
                    .alias("valid_revenue"))
     out = f
     for part in (s, m, g, o):
