@@ -8,9 +8,11 @@ Plan shape: valid orders are first reduced to distinct (user, month) pairs
 each map task as at most one row per month). The cohort month is then a
 ``min`` over a window partitioned by user, on those pairs only — no second
 scan of orders and no join back to them. Since the pairs are distinct, the
-users of a (cohort, offset) cell are a plain ``count``, with no distinct
-count (and no Expand). Cohort size is the month-0 cell, which holds every
-member of the cohort by construction.
+users of a cell are a plain conditional count, with no distinct count (and
+no Expand), and grouping by cohort alone yields every cell of a cohort in
+one row from one map-side-combined aggregation. Cohort size is the month-0
+cell, which holds every member of the cohort by construction, so no window
+or join over cohorts is needed.
 """
 
 from __future__ import annotations
@@ -37,11 +39,25 @@ def valid_orders(orders: DataFrame, status: str = "status",
 def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "created_at",
                      status: str | None = "status", status_in: Sequence[str] = VALID_STATUSES,
                      horizon: int = 12) -> DataFrame:
-    """O06 — per (cohort_month, month_number in 0..horizon-1):
-    ``cohort_size, retained_users, retention_pct`` (1 digit), sorted by both keys.
+    """O06 — per (cohort_month, month_number in 0..horizon-1) with at least one
+    returning user: ``cohort_size, retained_users, retention_pct`` (1 digit),
+    sorted by both keys.
 
     ``status=None`` takes every row as a valid order.
     """
+    counts = _cohort_counts(orders, user, ts, status, status_in, horizon)
+    cells = ", ".join(f"{m}, c{m}" for m in range(horizon))
+    return (counts.selectExpr("cohort_month", "c0 AS cohort_size",
+                              f"stack({horizon}, {cells}) AS (month_number, retained_users)")
+            .where("retained_users > 0")
+            .selectExpr("cohort_month", "cohort_size", "month_number", "retained_users",
+                        f"{pct_sql('retained_users', 'cohort_size', 1)} AS retention_pct")
+            .orderBy("cohort_month", "month_number"))
+
+
+def _cohort_counts(orders: DataFrame, user: str, ts: str, status: str | None, status_in: Sequence[str],
+                   horizon: int) -> DataFrame:
+    """One row per cohort: ``c{m}`` = its users with a valid order ``m`` months later."""
     src = orders if status is None else valid_orders(orders, status, status_in)
     pairs = (src.where(f"{ident(user)} IS NOT NULL AND {ident(ts)} IS NOT NULL")
              .select(F.col(user).alias("_user"), period_start(orders, ts, "month").alias("order_month"))
@@ -51,14 +67,10 @@ def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "create
                            "CAST((year(order_month) - year(cohort_month)) * 12"
                            " + (month(order_month) - month(cohort_month)) AS INT) AS month_number")
                .where(f"month_number BETWEEN 0 AND {int(horizon) - 1}"))
-    cells = offsets.groupBy("cohort_month", "month_number").agg(F.count(F.lit(1)).alias("retained_users"))
-    return (cells.selectExpr(
-        "cohort_month",
-        "max(CASE WHEN month_number = 0 THEN retained_users END) OVER (PARTITION BY cohort_month) AS cohort_size",
-        "month_number", "retained_users")
-        .selectExpr("cohort_month", "cohort_size", "month_number", "retained_users",
-                    f"{pct_sql('retained_users', 'cohort_size', 1)} AS retention_pct")
-        .orderBy("cohort_month", "month_number"))
+    # Pairs are distinct, so a plain conditional count is the distinct user count
+    # of a cell; grouping by cohort alone gives every cell of a cohort in one row.
+    return offsets.groupBy("cohort_month").agg(
+        *[F.expr(f"count_if(month_number = {m})").alias(f"c{m}") for m in range(horizon)])
 
 
 def cohort_matrix(retention: DataFrame, horizon: int = 12, min_months: int = 3,
