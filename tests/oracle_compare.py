@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 
 import duckdb
 
@@ -26,11 +27,15 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _norm(v, digits=6):
+DIGITS = int(os.environ.get("ORACLE_DIGITS", "6"))  # negative: compare doubles exactly
+
+
+def _norm(v, digits=None):
+    digits = DIGITS if digits is None else digits
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, digits)
+        return v if digits < 0 else round(v, digits)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     return v
