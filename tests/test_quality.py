@@ -1,6 +1,5 @@
 """Data-quality checks and profiles (O09-O16, O22-O24)."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from shopmetrics.operators import quality
