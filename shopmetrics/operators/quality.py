@@ -2,8 +2,8 @@
 
 Each check is one pass of aggregation over its table. Aggregates are
 partial map-side, so no key (however hot) reaches a single task as raw
-rows; the global ones (``agg`` without keys) produce exactly one row, which
-is the only thing ever broadcast here.
+rows. Global values a check needs (mean, deviation, totals) are scalar
+subqueries: computed once and used as constants, never joined.
 """
 
 from __future__ import annotations
@@ -125,11 +125,15 @@ def stage_integrity(events: DataFrame, session: str = "session_id", requires: st
 
 
 # --------------------------------------------------------------------------- O15, O16
-def _zscored(df: DataFrame, value: str) -> DataFrame:
-    # A global aggregate is exactly one row: broadcasting it is bounded.
-    stats = df.agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    return (df.crossJoin(F.broadcast(stats))
-            .withColumn("_z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))))
+def _stats(df: DataFrame, value: str) -> tuple[Column, Column]:
+    # Scalar subqueries: each global aggregate is computed once (Spark merges
+    # the two into one pass) and used as a constant, with no join.
+    return (df.agg(F.avg(value)).scalar(), df.agg(F.stddev_samp(value)).scalar())
+
+
+def _zscore(df: DataFrame, value: str) -> Column:
+    mean, std = _stats(df, value)
+    return (F.col(value) - mean) / F.nullif(std, F.lit(0.0))
 
 
 def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "order_id",
@@ -139,7 +143,7 @@ def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "
 
     A zero deviation makes z NULL and drops every row.
     """
-    return (_zscored(df, value).where(F.abs(F.col("_z")) > k)
+    return (df.withColumn("_z", _zscore(df, value)).where(F.abs(F.col("_z")) > k)
             .select(key, value, F.round("_z", 2).alias("z_score"))
             .orderBy(F.col("z_score").desc(), F.col(key).asc()))
 
@@ -147,13 +151,11 @@ def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "
 def outlier_summary(df: DataFrame, value: str = "total_sale_price", k: float = 3.0) -> DataFrame:
     """O16 — one row: ``total_rows, outliers, outlier_pct`` (1 digit),
     ``mean_value, std_value`` (2 digits)."""
-    z = _zscored(df, value)
-    return z.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.abs(F.col("_z")) > k).alias("outliers"),
-        F.first("_mean").alias("_m"), F.first("_std").alias("_s"),
-    ).select("total_rows", "outliers", pct("outliers", "total_rows", 1).alias("outlier_pct"),
-             F.round("_m", 2).alias("mean_value"), F.round("_s", 2).alias("std_value"))
+    mean, std = _stats(df, value)
+    z = (F.col(value) - mean) / F.nullif(std, F.lit(0.0))
+    return (df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.abs(z) > k).alias("outliers"))
+            .select("total_rows", "outliers", pct("outliers", "total_rows", 1).alias("outlier_pct"),
+                    F.round(mean, 2).alias("mean_value"), F.round(std, 2).alias("std_value")))
 
 
 # --------------------------------------------------------------------------- O22-O24
@@ -172,16 +174,14 @@ def value_distribution(df: DataFrame, col: str, normalize: bool = False) -> Data
     """O23 — per value of ``col``: ``count`` and, with ``normalize``, ``share``
     of all rows (3 digits); most frequent first. NULL is a value of its own.
 
-    The share's denominator is a global sum of the per-value counts: one row,
-    broadcast to the counts, so a column with many distinct values is never
-    gathered into a single task (an unpartitioned window would be). Both
-    branches read the same aggregation, whose shuffle Spark reuses.
+    The share's denominator is the global sum of the per-value counts, a
+    scalar subquery (one value, no join); a column with many distinct values
+    is never gathered into a single task, as an unpartitioned window would.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        total = counts.agg(F.sum("count").alias("_total"))
-        counts = (counts.crossJoin(F.broadcast(total))
-                  .select(col, "count", F.round(F.col("count").cast("double") / F.col("_total"), 3).alias("share")))
+        total = counts.agg(F.sum("count")).scalar()
+        counts = counts.withColumn("share", F.round(F.col("count").cast("double") / total, 3))
     return counts.orderBy(F.col("count").desc(), F.col(col).asc_nulls_last())
 
 
@@ -197,5 +197,5 @@ def population_profile(events: DataFrame, orders: DataFrame, user: str = "user_i
                 .agg(F.max(F.when(F.col(event_col) == purchase, 1).otherwise(0)).alias("_buyer")))
     people = per_user.agg(F.count(F.lit(1)).alias("users"),
                           F.coalesce(F.sum("_buyer"), F.lit(0)).cast("long").alias("buyers"))
-    aov = orders.agg(F.round(exact_mean(value), 2).alias("avg_order_value"))
-    return people.crossJoin(F.broadcast(aov))
+    aov = orders.agg(F.round(exact_mean(value), 2)).scalar()
+    return people.select("users", "buyers", aov.alias("avg_order_value"))

@@ -2,8 +2,8 @@
 
 Each input is a small result (a few stages, sources, cohorts, tiers) or, for
 the order totals, a global aggregate; each is reduced to exactly one row,
-and the one-row frames are joined side by side. A one-row frame is the only
-thing broadcast, so the size of every broadcast is bounded.
+whose values are attached to the first as scalar subqueries: no join, and
+nothing broadcast whose size could grow with the data.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def kpi_summary(funnel: DataFrame, sources: DataFrame, matrix: DataFrame, segmen
     o = orders.agg(F.count(F.lit(1)).alias("valid_orders"),
                    F.expr(f"round(CAST(coalesce(sum(CAST({ident(value)} AS {MONEY})), 0) AS DOUBLE), 2)")
                    .alias("valid_revenue"))
-    out = f
-    for part in (s, m, g, o):
-        out = out.crossJoin(F.broadcast(part))
-    return out
+    # Each part is one row: its values enter as scalar subqueries (Spark merges
+    # those over the same part into one), not as joins.
+    extra = [part.select(c).scalar().alias(c) for part in (s, m, g, o) for c in part.columns]
+    return f.select("*", *extra)

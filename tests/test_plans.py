@@ -59,9 +59,10 @@ def test_cohort_has_no_distinct_count(spark):
     assert "Expand" not in node_names(_q(spark, "cohort_retention"))
 
 
-def test_outlier_broadcast_is_one_row(spark):
-    text = physical_plan(_q(spark, "zscore_outliers"))
-    assert "BroadcastNestedLoopJoin" in text
+def test_global_values_are_scalar_subqueries_not_joins(spark):
+    for name in ("zscore_outliers", "outlier_summary", "event_type_share", "population_profile", "kpi_summary"):
+        text = physical_plan(_q(spark, name))
+        assert "Subquery" in text and "NestedLoopJoin" not in text and "CartesianProduct" not in text, name
 
 
 # zscore_outliers sorts its outliers globally: those rows are shuffled as they
