@@ -62,3 +62,14 @@ def test_run_writes_marts_and_kpi(spark):
     assert orphans["orphaned_event_rows"] == "1"
     trend = spark.read.option("header", True).csv(written["monthly_trend"]).collect()
     assert [r["month_str"] for r in trend] == ["2023-01", "2023-02"]
+
+
+def test_run_with_parquet_output(spark):
+    base = tempfile.mkdtemp(prefix="canon-")
+    _write_csv_tables(base)
+    out = tempfile.mkdtemp(prefix="marts-")
+    written = analysis.run(spark, base, out, "csv", "parquet")
+    kpi = spark.read.parquet(written["kpi_summary"]).first()
+    assert kpi["overall_conversion_pct"] == 25.0 and kpi["valid_orders"] == 2
+    seg = spark.read.parquet(written["customer_segments"])
+    assert dict(seg.dtypes)["customers"] == "bigint" and seg.count() == 1   # user 1 only: 102.5, Mid
