@@ -27,7 +27,8 @@ def null_audit_union(events: DataFrame, orders: DataFrame,
                      events_cols: Sequence[str] = ("user_id", "session_id", "event_type",
                                                    "created_at", "traffic_source"),
                      orders_cols: Sequence[str] = ("user_id", "total_sale_price", "status",
-                                                   "created_at")) -> DataFrame:
+                                                   "created_at"),
+                     lookup: DataFrame | None = None, lookup_key: str | None = None) -> DataFrame:
     """O09 — two rows, ``table_name, total_rows, null_user_id, null_session_id,
     null_event_type, null_created_at, null_traffic_source``.
 
@@ -35,10 +36,29 @@ def null_audit_union(events: DataFrame, orders: DataFrame,
     the reference: the orders row reports null prices under
     ``null_session_id``, null statuses under ``null_event_type`` and a
     constant 0 under ``null_traffic_source``. ``null_audit`` is the clean form.
+
+    ``lookup`` (optional) supplies audited event columns that live on a
+    dimension keyed by ``lookup_key`` (e.g. a user's traffic source), as a
+    left join would: events are first reduced to one row per key with their
+    row and null counts, and only those rows meet the dimension.
     """
     names = ["null_" + c for c in events_cols]
-    ev = events.agg(F.count(F.lit(1)).alias("total_rows"),
-                    *[_null_sum(c).alias(n) for c, n in zip(events_cols, names)])
+    if lookup is None:
+        ev = events.agg(F.count(F.lit(1)).alias("total_rows"),
+                        *[_null_sum(c).alias(n) for c, n in zip(events_cols, names)])
+    else:
+        if lookup_key is None:
+            raise ValueError("lookup_key is required with lookup")
+        via = [c for c in events_cols if c not in events.columns]
+        per_key = events.groupBy(F.col(lookup_key).alias("_k")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[_null_sum(c).alias(f"_d{i}") for i, c in enumerate(events_cols) if c not in via])
+        dim = lookup.select(F.col(lookup_key).alias("_k"), *via)
+        joined = per_key.join(dim, on="_k", how="left")
+        sums = [F.expr(f"CAST(sum(CASE WHEN {ident(c)} IS NULL THEN _n ELSE 0 END) AS BIGINT)") if c in via
+                else F.expr(f"CAST(sum(_d{i}) AS BIGINT)") for i, c in enumerate(events_cols)]
+        ev = joined.agg(F.expr("CAST(coalesce(sum(_n), 0) AS BIGINT)").alias("total_rows"),
+                        *[x.alias(n) for x, n in zip(sums, names)])
     ev = ev.select(F.lit("events").alias("table_name"), "*")
     od = orders.agg(F.count(F.lit(1)).alias("total_rows"),
                     *[_null_sum(c).alias(f"c{i}") for i, c in enumerate(orders_cols)])

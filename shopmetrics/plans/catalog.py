@@ -59,7 +59,9 @@ def q_cohort_average(spark, d):
 
 
 def q_null_audit_union(spark, d):
-    return quality.null_audit_union(td.events_with_source(spark, d, nulls=True), td.orders(spark, d, nulls=True))
+    return quality.null_audit_union(td.events(spark, d, nulls=True), td.orders(spark, d, nulls=True),
+                                    lookup=td.users(spark, d).select("user_id", "traffic_source"),
+                                    lookup_key="user_id")
 
 
 def q_null_audit(spark, d):

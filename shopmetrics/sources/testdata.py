@@ -87,17 +87,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_mktsegment AS traffic_source")
 
 
-def events_with_source(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
-    """Events with the user's traffic source (left join: unknown users keep NULL).
-
-    Spark picks broadcast or sort-merge for this join from the size it
-    measures; prefer the funnels' ``lookup`` argument, which joins after
-    pre-aggregation, where only counts are needed.
-    """
-    u = users(spark, sf_dir).select("user_id", "traffic_source")
-    return events(spark, sf_dir, nulls).join(u, on="user_id", how="left")
-
-
 def orders(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """Canonical orders. ``nulls=True`` turns status P into NULL."""
     status = "nullif(o_orderstatus, 'P')" if nulls else "o_orderstatus"

@@ -125,3 +125,18 @@ def test_profiles(spark):
     assert [(r["event_type"], r["count"], r["share"]) for r in d] == [("home", 2, 0.5), ("purchase", 2, 0.5)]
     rc = {r["table_name"]: r["row_count"] for r in quality.row_counts({"events": ev, "orders": od}).collect()}
     assert rc == {"events": 4, "orders": 3}
+
+
+def test_null_audit_union_lookup_equals_joined(spark):
+    ev = _null_events(spark)
+    users = spark.createDataFrame([(1, "Email"), (2, None), (3, "Search"), (4, "Search")],
+                                  "user_id BIGINT, traffic_source STRING")
+    joined = ev.drop("traffic_source").join(users, "user_id", "left")
+    a = quality.null_audit_union(joined, _null_orders(spark)).collect()
+    b = quality.null_audit_union(ev.drop("traffic_source"), _null_orders(spark), lookup=users,
+                                 lookup_key="user_id").collect()
+    assert a == b
+    assert a[0]["null_traffic_source"] == 3     # user 2 (null source), null user, user 5 (no user row)
+    empty = quality.null_audit_union(ev.drop("traffic_source").where(F.lit(False)), _null_orders(spark),
+                                     lookup=users, lookup_key="user_id").first()
+    assert empty["total_rows"] == 0 and empty["null_user_id"] is None
