@@ -31,3 +31,15 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) >= 1
     assert df.columns[0] == "traffic_source"
+
+
+@pytest.mark.parametrize("name", ["cohort_retention", "revenue_trend_hourly", "revenue_trend_export",
+                                  "duplicate_keys", "funnel_overall"])
+def test_results_do_not_depend_on_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        problems = compare(spark, SF, name, entry.queries()[name], entry.oracle_sql()[name], con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert not problems, "\n".join(problems)
