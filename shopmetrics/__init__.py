@@ -34,13 +34,14 @@ from shopmetrics.operators.revenue import (
     revenue_trend_export,
     trend_summary,
 )
-from shopmetrics.operators.segments import DEFAULT_TIERS, spend_segments
+from shopmetrics.operators.segments import DEFAULT_BOUNDS, DEFAULT_LABELS as DEFAULT_TIER_LABELS, spend_segments
 from shopmetrics.operators.summary import kpi_summary
 from shopmetrics.sources.sinks import export_marts
 
 __all__ = [
     "DEFAULT_STAGES",
-    "DEFAULT_TIERS",
+    "DEFAULT_BOUNDS",
+    "DEFAULT_TIER_LABELS",
     "cohort_average",
     "cohort_matrix",
     "cohort_retention",

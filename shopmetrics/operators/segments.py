@@ -2,7 +2,7 @@
 
 Tiers are right-closed: with bounds 0 < 50 < 150 < 400 a total of exactly
 50 is in the first tier, and a total of 0 or less is in none (and is left
-out). Spark ML's ``Bucketizer`` is left-closed, so the tier is a ``when``
+out). Spark ML's ``Bucketizer`` is left-closed, so the tier is a ``CASE``
 chain instead.
 
 Plan shape: one aggregate per customer (partial map-side), a tier label,
@@ -24,7 +24,6 @@ from shopmetrics.operators.cohort import VALID_STATUSES, valid_orders
 # The reference's tier bounds (right-closed) and labels.
 DEFAULT_BOUNDS = (0.0, 50.0, 150.0, 400.0)
 DEFAULT_LABELS = ("Low (<$50)", "Mid ($50-$150)", "High ($150-$400)", "VIP (>$400)")
-DEFAULT_TIERS = tuple(zip(DEFAULT_LABELS, DEFAULT_BOUNDS[1:] + (None,)))
 
 
 def _tier_sql(spend: str, bounds: Sequence[float], labels: Sequence[str]) -> tuple[str, str]:
