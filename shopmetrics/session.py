@@ -22,6 +22,25 @@ RECOMMENDED_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a given input volume (a starting point for cluster jobs).
+
+    The shuffle partition count is chosen so that, before AQE coalesces
+    them, shuffle partitions hold about ``partition_bytes`` of input each (and
+    at least two waves of tasks), which keeps hash aggregates and sorts
+    within executor memory instead of spilling; scans are split at the same
+    size. AQE then merges small partitions and splits skewed ones at runtime.
+    """
+    partitions = max(2 * total_cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        **{k: v for k, v in RECOMMENDED_CONF.items() if k != "spark.ui.enabled"},
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shopmetrics",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks (not for cluster use)."""

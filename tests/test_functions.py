@@ -44,3 +44,13 @@ def test_month_offset_is_calendar(spark):
 def test_sql_quoting():
     assert ident("a`b") == "`a``b`"
     assert lit("it's\nok") == "'it\\'s\\nok'"
+
+
+def test_scale_conf_sizes_partitions():
+    from shopmetrics.session import scale_conf
+
+    c = scale_conf(100 * 1024**4, total_cores=8000)          # 100 TiB on 1,000 executors x 8 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600   # 256 MiB of input per partition
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    small = scale_conf(10 * 1024**2, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16   # at least two waves of tasks
