@@ -20,8 +20,9 @@ units are all null still appears, with zero counts.
 
 When the dimension lives on another table (e.g. traffic source on users),
 pass it as ``lookup``: events are pre-aggregated to one row per
-(key, unit) before the join, so the join sees aggregated rows instead of
-raw events and a hot key cannot skew it.
+(key, unit) — and, when each unit has a single key, further to one row per
+key with per-stage unit counts — before the join, so the join sees
+aggregated rows instead of raw events and a hot key cannot skew it.
 """
 
 from __future__ import annotations
@@ -74,10 +75,18 @@ def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequ
             raise ValueError("lookup_key is required with lookup")
         keys = list(dict.fromkeys([lookup_key, unit]))
         pre = events.groupBy(*keys).agg(*flags)
-        per_unit = pre.join(lookup.select(lookup_key, *dims), on=lookup_key, how="left")
-        if not unit_determines_key:
-            per_unit = per_unit.groupBy(*dims, unit).agg(
-                *[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))])
+        dim = lookup.select(lookup_key, *dims)
+        if unit_determines_key:
+            # Each unit has one key, so its flags can be summed per key before the
+            # join: the join sees one row per key, and in a sort-merge join this
+            # side is already partitioned by the key.
+            if len(keys) > 1:
+                pre = pre.groupBy(lookup_key).agg(
+                    *[F.expr(f"CAST(sum(f{i}) AS BIGINT)").alias(f"f{i}") for i in range(len(stages))])
+            per_unit = pre.join(dim, on=lookup_key, how="left")
+        else:
+            per_unit = (pre.join(dim, on=lookup_key, how="left")
+                        .groupBy(*dims, unit).agg(*[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))]))
     return per_unit.groupBy(*dims).agg(*_sums(len(stages)))
 
 
