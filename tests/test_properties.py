@@ -81,3 +81,37 @@ def test_spend_tiers_are_right_closed(spark, rows):
                 want[label] += 1
                 break
     assert got == dict(want)
+
+
+visit_rows = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3), st.integers(0, 8)), max_size=25)  # user, session, month
+trend_orders = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4), st.integers(0, 8), st.integers(0, 9999),
+                                  st.sampled_from(["Complete", "Cancelled"])), max_size=20)  # id, user, month, cents, status
+
+
+@SETTINGS
+@given(visit_rows, trend_orders)
+def test_revenue_trend_equals_brute_force(spark, visits, ords):
+    def month(m):
+        return dt.datetime(2024 + m // 12, m % 12 + 1, 1)
+    ev = spark.createDataFrame([(s, u, "home", month(m)) for u, s, m in visits],
+                               "session_id BIGINT, user_id BIGINT, event_type STRING, created_at TIMESTAMP_NTZ")
+    od = orders(spark, [(i, u, st_, c / 100, month(m)) for i, u, m, c, st_ in ords])
+    got = [(r["month"], r["total_sessions"], r["unique_visitors"], r["total_orders"], r["unique_buyers"],
+            r["total_revenue"], r["mom_revenue_growth_pct"]) for r in revenue_trend_rows(ev, od)]
+    want, prev = [], None
+    for m in sorted({m for _, _, m in visits}):
+        valid = [(i, u, c) for i, u, mm, c, s in ords if mm == m and s == "Complete"]
+        rev = sum(c for _, _, c in valid)
+        growth = None if prev in (None, 0) else round(100.0 * (rev / 100 - prev / 100) / (prev / 100), 1)
+        want.append((month(m), len({s for _, s, mm in visits if mm == m}), len({u for u, _, mm in visits if mm == m}),
+                     len({i for i, _, _ in valid}), len({u for _, u, _ in valid}), round(rev / 100, 2), growth))
+        prev = rev
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-9
+        assert (g[6] is None) == (w[6] is None) and (g[6] is None or abs(g[6] - w[6]) <= 0.1 + 1e-9)
+
+
+def revenue_trend_rows(ev, od):
+    from shopmetrics.operators import revenue
+    return revenue.revenue_trend(ev, od).collect()
