@@ -145,3 +145,24 @@ def test_round_ties_half_up(spark):
         ev = _golden_events(spark, (n, 1, 0, 0, 0))
         row = as_dicts(funnel.funnel_overall(ev, stages=STAGES))[0]
         assert row["pct_home_to_category"] == want
+
+
+def test_lookup_with_sessions_regroups_per_key(spark):
+    # unit = session, key = user: flags are summed per user before the join
+    ev = events(spark, [
+        (1, 1, "home", "2024-01-01 10:00:00", "m", None),
+        (2, 1, "home", "2024-01-02 10:00:00", "m", None),
+        (2, 1, "purchase", "2024-01-02 10:05:00", "m", None),
+        (3, 2, "home", "2024-01-02 11:00:00", "m", None),
+        (4, None, "home", "2024-01-03 11:00:00", "m", None),
+        (None, 3, "home", "2024-01-03 12:00:00", "m", None),
+    ]).drop("traffic_source")
+    users = spark.createDataFrame([(1, "Email"), (2, "Search")], "user_id BIGINT, traffic_source STRING")
+    joined = ev.join(users, "user_id", "left")
+    want = {r["traffic_source"]: tuple(r[f"users_{s}"] for s in STAGES)
+            for r in funnel.funnel_by(joined, "traffic_source", unit="session_id", stages=STAGES).collect()}
+    got = {r["traffic_source"]: tuple(r[f"users_{s}"] for s in STAGES)
+           for r in funnel.funnel_by(ev, "traffic_source", unit="session_id", stages=STAGES, lookup=users,
+                                     lookup_key="user_id", unit_determines_key=True).collect()}
+    assert got == want
+    assert want["Email"][0] == 2 and want["Email"][4] == 1 and want[None][0] == 1   # session 4; null session skipped
