@@ -73,3 +73,16 @@ RAW_SHUFFLE_ALLOWED = {"zscore_outliers"}
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - RAW_SHUFFLE_ALLOWED))
 def test_rows_are_aggregated_before_every_shuffle(spark, name):
     assert raw_shuffles(_q(spark, name)) == []
+
+
+def test_sort_merge_lookup_reuses_the_aggregate_partitioning(spark):
+    # As at 100 TB: the dimension is too large to broadcast.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = node_names(_q(spark, "funnel_by_source"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    join = nodes.index("SortMergeJoin")
+    # events side: Sort directly over the per-user aggregate, no exchange in between
+    assert nodes[join + 1] == "Sort" and nodes[join + 2] == "HashAggregate"
