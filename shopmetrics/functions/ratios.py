@@ -6,9 +6,13 @@ denominator yields NULL, as ``NULLIF`` does in SQL.
 
 Ratios are computed on doubles (``100.0D`` is a double), never on
 decimals, so ``round`` returns a double and the result type does not depend
-on the input's precision. Money is summed as ``DECIMAL(18,2)`` so totals do
-not depend on the order rows arrive in; it is turned back into a double
-once, at the end.
+on the input's precision.
+
+Amounts are summed unrounded. Values between ``EXACT_FROM`` and ``EXACT_TO``
+in size are summed as ``DECIMAL(28,10)``, so a total does not depend on the
+order rows arrive in; smaller and larger ones are summed as doubles beside
+them, so none is lost and none overflows. NULL and NaN are missing values. A
+total becomes a double once, at the end, and only a result column is rounded.
 
 Given column names, the helpers return one SQL expression (``F.expr``):
 Spark parses it in a single call, where the equivalent chain of Column
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.sql import ident, pct_sql
 
-MONEY = "decimal(18,2)"
+EXACT = "DECIMAL(28,10)"
+EXACT_FROM, EXACT_TO = "1e-4D", "1e15D"  # 1e13 values of the largest size fit the sum's 38 digits
 
 
 def _col(c: Column | str) -> Column:
@@ -48,25 +53,26 @@ def pct(num: Column | str, den: Column | str, digits: int | None = 1) -> Column:
     return ratio if digits is None else F.round(ratio, digits)
 
 
-def money(c: Column | str) -> Column:
-    """A price as an exact two-digit decimal."""
-    return _col(c).cast(MONEY)
+def present_sql(x: str) -> str:
+    """SQL operand as a double, NULL where it is NULL or NaN."""
+    return f"nanvl(CAST({x} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-def money_sum(c: Column | str) -> Column:
-    """Order-independent sum of prices, returned as double."""
-    if isinstance(c, str):
-        return F.expr(f"CAST(sum(CAST({ident(c)} AS {MONEY})) AS DOUBLE)")
-    return F.sum(money(c)).cast("double")
+def total_sql(x: str) -> str:
+    """Sum of a SQL operand as a double (see the module's text); NULL without any value."""
+    v = present_sql(x)
+    exact = f"abs({v}) >= {EXACT_FROM} AND abs({v}) < {EXACT_TO}"
+    dec = f"sum(CASE WHEN {exact} THEN CAST({x} AS {EXACT}) END)"
+    rest = f"sum(CASE WHEN NOT ({exact}) THEN {v} END)"
+    return f"CASE WHEN {dec} IS NULL THEN {rest} ELSE CAST({dec} AS DOUBLE) + coalesce({rest}, 0.0D) END"
 
 
-def exact_mean(c: Column | str) -> Column:
-    """Mean of two-digit values: exact decimal sum divided by the non-null count.
+def total(c: str) -> Column:
+    """Order-independent sum of a column's unrounded values, as double."""
+    return F.expr(total_sql(ident(c)))
 
-    A floating ``avg`` depends on the order partial sums are merged in; this
-    form does not. NULL when there is no non-null value.
-    """
-    if isinstance(c, str):
-        q = ident(c)
-        return F.expr(f"CAST(sum(CAST({q} AS {MONEY})) AS DOUBLE) / nullif(CAST(count({q}) AS DOUBLE), 0.0D)")
-    return safe_div(F.sum(money(c)).cast("double"), F.count(_col(c)))
+
+def exact_mean(c: str) -> Column:
+    """Mean of a column's unrounded values, whatever order partial sums merge in; NULL without any."""
+    q = ident(c)
+    return F.expr(f"({total_sql(q)}) / nullif(CAST(count({present_sql(q)}) AS DOUBLE), 0.0D)")

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.sql import ident, lit, pct_sql
+from shopmetrics.functions.sql import ident, lit, one_row_per_key, pct_sql
 
 # The reference's stage order and its chart labels.
 DEFAULT_STAGES = ("home", "category", "product", "cart", "purchase")
@@ -45,8 +45,13 @@ def _dims(dim: str | Sequence[str] | None) -> list[str]:
     return [dim] if isinstance(dim, str) else list(dim)
 
 
-def _flag_max(event_col: str, unit: str, stage: str, name: str) -> Column:
-    flag = f"CASE WHEN {ident(event_col)} = {lit(stage)} AND {ident(unit)} IS NOT NULL THEN 1 ELSE 0 END"
+def _known(unit: str | Sequence[str]) -> str:
+    """SQL: no column of the unit is NULL."""
+    return " AND ".join(f"{ident(u)} IS NOT NULL" for u in _dims(unit))
+
+
+def _flag_max(event_col: str, unit: str | Sequence[str], stage: str, name: str) -> Column:
+    flag = f"CASE WHEN {ident(event_col)} = {lit(stage)} AND {_known(unit)} THEN 1 ELSE 0 END"
     return F.expr(f"max({flag})").alias(name)
 
 
@@ -56,26 +61,27 @@ def _sums(k: int, default_zero: bool = False) -> list[Column]:
     return [F.expr(f"CAST(sum(f{i}) AS BIGINT)").alias(f"n{i}") for i in range(k)]
 
 
-def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequence[str],
+def stage_counts(events: DataFrame, dims: Sequence[str], unit: str | Sequence[str], stages: Sequence[str],
                  event_col: str = "event_type", lookup: DataFrame | None = None,
                  lookup_key: str | None = None, unit_determines_key: bool = False) -> DataFrame:
     """Distinct units per stage, per ``dims``: columns ``dims..., n0, n1, ...`` (bigint).
 
     ``lookup`` (optional) supplies ``dims`` keyed by ``lookup_key``, a column
-    of ``events``; its key must be unique. ``unit_determines_key`` says each
-    unit has a single key (the unit is the key, or a session of it), which
-    saves a regrouping step after the join.
+    of ``events``; of rows repeating a key the least is used. A unit may span
+    several columns. ``unit_determines_key`` says each unit has a single key
+    (the unit is the key, or a session of it), which saves a regrouping step
+    after the join.
     """
     dims = list(dims)
     flags = [_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)]
     if lookup is None:
-        per_unit = events.groupBy(*dims, unit).agg(*flags)
+        per_unit = events.groupBy(*dims, *_dims(unit)).agg(*flags)
     else:
         if lookup_key is None:
             raise ValueError("lookup_key is required with lookup")
-        keys = list(dict.fromkeys([lookup_key, unit]))
+        keys = list(dict.fromkeys([lookup_key, *_dims(unit)]))
         pre = events.groupBy(*keys).agg(*flags)
-        dim = lookup.select(lookup_key, *dims)
+        dim = one_row_per_key(lookup, lookup_key, dims)
         if unit_determines_key:
             # Each unit has one key, so its flags can be summed per key before the
             # join: the join sees one row per key, and in a sort-merge join this
@@ -86,15 +92,15 @@ def stage_counts(events: DataFrame, dims: Sequence[str], unit: str, stages: Sequ
             per_unit = pre.join(dim, on=lookup_key, how="left")
         else:
             per_unit = (pre.join(dim, on=lookup_key, how="left")
-                        .groupBy(*dims, unit).agg(*[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))]))
+                        .groupBy(*dims, *_dims(unit)).agg(*[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))]))
     return per_unit.groupBy(*dims).agg(*_sums(len(stages)))
 
 
-def _overall_counts(events: DataFrame, unit: str, stages: Sequence[str], event_col: str) -> DataFrame:
+def _overall_counts(events: DataFrame, unit: str | Sequence[str], stages: Sequence[str], event_col: str) -> DataFrame:
     # Without a dimension, events outside the stages can be dropped at the scan.
     stage_list = ", ".join(lit(s) for s in stages)
-    ev = events.where(f"{ident(event_col)} IN ({stage_list}) AND {ident(unit)} IS NOT NULL")
-    per_unit = ev.groupBy(unit).agg(*[_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)])
+    ev = events.where(f"{ident(event_col)} IN ({stage_list}) AND {_known(unit)}")
+    per_unit = ev.groupBy(*_dims(unit)).agg(*[_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)])
     return per_unit.agg(*_sums(len(stages), default_zero=True))
 
 
@@ -107,7 +113,7 @@ def _sorted_by_rate(df: DataFrame, rate: str, dims: list[str]) -> DataFrame:
     return df.orderBy(F.col(rate).desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims])
 
 
-def funnel_overall(events: DataFrame, unit: str = "user_id", stages: Sequence[str] = DEFAULT_STAGES,
+def funnel_overall(events: DataFrame, unit: str | Sequence[str] = "user_id", stages: Sequence[str] = DEFAULT_STAGES,
                    event_col: str = "event_type") -> DataFrame:
     """O01 — one row: ``stage_{i}_{s}`` units per stage, step rates (1 digit),
     ``overall_conversion_rate_pct`` (2 digits), last stage over first."""
@@ -120,7 +126,7 @@ def funnel_overall(events: DataFrame, unit: str = "user_id", stages: Sequence[st
     )
 
 
-def funnel_long(events: DataFrame, unit: str = "user_id", stages: Sequence[str] = DEFAULT_STAGES,
+def funnel_long(events: DataFrame, unit: str | Sequence[str] = "user_id", stages: Sequence[str] = DEFAULT_STAGES,
                 labels: Sequence[str] | None = None, event_col: str = "event_type") -> DataFrame:
     """O02 — one row per stage: ``stage_no, stage, users, conversion_from_top_pct,
     drop_off_pct``; drop-off is ``(1 - users / previous) * 100`` and NULL at the top.
@@ -128,6 +134,12 @@ def funnel_long(events: DataFrame, unit: str = "user_id", stages: Sequence[str]
     Computed on the one-row counts and then turned into rows with ``inline``:
     no window and no sort over data are needed.
     """
+    return long_rows(_overall_counts(events, unit, list(stages), event_col), stages, labels)
+
+
+def long_rows(counts: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
+              labels: Sequence[str] | None = None) -> DataFrame:
+    """The rows of O02 from one row of counts ``n0, n1, ...``."""
     stages = list(stages)
     labels = list(labels) if labels is not None else stages
     if len(labels) != len(stages):
@@ -138,11 +150,15 @@ def funnel_long(events: DataFrame, unit: str = "user_id", stages: Sequence[str]
                 else f"round((1.0D - CAST(n{i} AS DOUBLE) / nullif(CAST(n{i - 1} AS DOUBLE), 0.0D)) * 100.0D, 1)")
         rows.append(f"named_struct('stage_no', {i + 1}, 'stage', {lit(label)}, 'users', n{i}, "
                     f"'conversion_from_top_pct', {pct_sql(f'n{i}', 'n0', 1)}, 'drop_off_pct', {drop})")
-    counts = _overall_counts(events, unit, stages, event_col)
     return counts.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str = "user_id",
+def overall_from(counts: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """One row of counts from :func:`stage_counts` by a property each unit has once."""
+    return counts.agg(*[F.expr(f"CAST(coalesce(sum(n{i}), 0) AS BIGINT)").alias(f"n{i}") for i in range(len(stages))])
+
+
+def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str | Sequence[str] = "user_id",
               stages: Sequence[str] = DEFAULT_STAGES, event_col: str = "event_type",
               lookup: DataFrame | None = None, lookup_key: str | None = None,
               unit_determines_key: bool = False) -> DataFrame:
@@ -162,17 +178,22 @@ def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", un
     return _sorted_by_rate(out, "overall_conversion_pct", dims)
 
 
-def funnel_by_compact(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str = "user_id",
+def funnel_by_compact(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str | Sequence[str] = "user_id",
                       stages: Sequence[str] = DEFAULT_STAGES, event_col: str = "event_type",
                       lookup: DataFrame | None = None, lookup_key: str | None = None,
                       unit_determines_key: bool = False) -> DataFrame:
     """O04 — per dimension value: one count column per stage (named by the stage),
     ``conversion_pct`` (last over first, 2 digits) and
     ``{penultimate}_to_{last}_pct`` (1 digit); sorted by conversion, descending."""
-    stages = list(stages)
     dims = _dims(dim)
+    counts = stage_counts(events, dims, unit, list(stages), event_col, lookup, lookup_key, unit_determines_key)
+    return compact_rows(counts, dims, stages)
+
+
+def compact_rows(counts: DataFrame, dim: str | Sequence[str], stages: Sequence[str] = DEFAULT_STAGES) -> DataFrame:
+    """The rows of O04 from :func:`stage_counts`."""
+    dims, stages = _dims(dim), list(stages)
     last = len(stages) - 1
-    counts = stage_counts(events, dims, unit, stages, event_col, lookup, lookup_key, unit_determines_key)
     out = counts.selectExpr(
         *[ident(d) for d in dims],
         *[f"n{i} AS {ident(s)}" for i, s in enumerate(stages)],
@@ -182,7 +203,7 @@ def funnel_by_compact(events: DataFrame, dim: str | Sequence[str] = "traffic_sou
     return _sorted_by_rate(out, "conversion_pct", dims)
 
 
-def funnel_by_device(events: DataFrame, dim: str | Sequence[str] = "device_type", unit: str = "user_id",
+def funnel_by_device(events: DataFrame, dim: str | Sequence[str] = "device_type", unit: str | Sequence[str] = "user_id",
                      stages: Sequence[str] = DEFAULT_STAGES, event_col: str = "event_type") -> DataFrame:
     """O05 — per device: first- and last-stage units, then the last three steps:
     ``pct_reached_{s[-3]}`` (over the *first* stage, skipping those between),

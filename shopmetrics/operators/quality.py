@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.ratios import exact_mean, pct
-from shopmetrics.functions.sql import ident, lit, pct_sql
+from shopmetrics.functions.sql import ident, lit, one_row_per_key, pct_sql
 
 
 def _null_sum(c: str) -> Column:
@@ -53,7 +53,7 @@ def null_audit_union(events: DataFrame, orders: DataFrame,
         per_key = events.groupBy(F.col(lookup_key).alias("_k")).agg(
             F.count(F.lit(1)).alias("_n"),
             *[_null_sum(c).alias(f"_d{i}") for i, c in enumerate(events_cols) if c not in via])
-        dim = lookup.select(F.col(lookup_key).alias("_k"), *via)
+        dim = one_row_per_key(lookup, lookup_key, via).withColumnRenamed(lookup_key, "_k")
         joined = per_key.join(dim, on="_k", how="left")
         sums = [F.expr(f"CAST(sum(CASE WHEN {ident(c)} IS NULL THEN _n ELSE 0 END) AS BIGINT)") if c in via
                 else F.expr(f"CAST(sum(_d{i}) AS BIGINT)") for i, c in enumerate(events_cols)]
@@ -93,6 +93,32 @@ def null_audit_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def null_and_row_counts(tables: dict[str, DataFrame], audited: Sequence[str]) -> DataFrame:
+    """``table_name, column_name, n``: one aggregate per table gives its rows (NULL
+    column name) and, for the ``audited`` tables, the NULLs of every column."""
+    out = None
+    for name, df in tables.items():
+        cols = df.columns if name in audited else []
+        counts = df.agg(F.count(F.lit(1)).alias("_rows"),
+                        *[F.expr(f"count_if({ident(c)} IS NULL)").alias(f"_n{i}") for i, c in enumerate(cols)])
+        pairs = ", ".join(["CAST(NULL AS STRING), _rows"] + [f"{lit(c)}, _n{i}" for i, c in enumerate(cols)])
+        long = counts.selectExpr(f"{lit(name)} AS table_name", f"stack({len(cols) + 1}, {pairs}) AS (column_name, n)")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def nulls_of(counts: DataFrame) -> DataFrame:
+    """O10 from :func:`null_and_row_counts`."""
+    rows = counts.where("column_name IS NULL").selectExpr("table_name", "n AS _rows")
+    return (counts.where("column_name IS NOT NULL AND n > 0").join(rows, "table_name")
+            .selectExpr("table_name", "column_name", "n AS null_count", f"{pct_sql('n', '_rows', 2)} AS null_pct"))
+
+
+def row_counts_of(counts: DataFrame) -> DataFrame:
+    """O22 from :func:`null_and_row_counts`."""
+    return counts.where("column_name IS NULL").selectExpr("table_name", "n AS row_count")
+
+
 # --------------------------------------------------------------------------- O11, O12
 def _duplicates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     # NULL keys form their own group, as in SQL's GROUP BY.
@@ -101,14 +127,15 @@ def _duplicates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_keys(events: DataFrame, keys: Sequence[str] = ("session_id", "event_type"),
-                   limit: int = 20) -> DataFrame:
+                   limit: int | None = 20) -> DataFrame:
     """O11 — key tuples seen more than once with ``occurrences``, most first,
-    top ``limit``. Keys break ties so the cut is deterministic; the plan is a
-    per-partition top-k (TakeOrderedAndProject), not a full sort."""
+    top ``limit`` (None: all of them). Keys break ties so the cut is
+    deterministic; with a limit the plan is a per-partition top-k
+    (TakeOrderedAndProject), not a full sort."""
     keys = list(keys)
-    return (_duplicates(events, keys)
-            .orderBy(F.col("occurrences").desc(), *[F.col(k).asc_nulls_first() for k in keys])
-            .limit(limit))
+    found = _duplicates(events, keys).orderBy(F.col("occurrences").desc(),
+                                              *[F.col(k).asc_nulls_first() for k in keys])
+    return found if limit is None else found.limit(limit)
 
 
 def duplicate_key_count(events: DataFrame, keys: Sequence[str] = ("session_id", "event_type")) -> DataFrame:
@@ -132,13 +159,13 @@ def orphan_count(child: DataFrame, parent: DataFrame, fk: str = "user_id", pk: s
 
 
 # --------------------------------------------------------------------------- O14
-def stage_integrity(events: DataFrame, session: str = "session_id", requires: str = "cart",
+def stage_integrity(events: DataFrame, session: str | Sequence[str] = "session_id", requires: str = "cart",
                     stage: str = "purchase", event_col: str = "event_type",
                     name: str | None = None) -> DataFrame:
     """O14 — one row: sessions with a ``stage`` event but no ``requires`` event."""
     name = name or f"sessions_with_{stage}_no_{requires}"
     per = (events.where(F.col(event_col).isin(requires, stage))
-           .groupBy(session)
+           .groupBy(*([session] if isinstance(session, str) else session))
            .agg(F.max(F.when(F.col(event_col) == requires, 1).otherwise(0)).alias("_had_req"),
                 F.max(F.when(F.col(event_col) == stage, 1).otherwise(0)).alias("_had_stage")))
     return per.agg(F.count_if((F.col("_had_stage") == 1) & (F.col("_had_req") == 0)).alias(name))
@@ -146,9 +173,10 @@ def stage_integrity(events: DataFrame, session: str = "session_id", requires: st
 
 # --------------------------------------------------------------------------- O15, O16
 def _stats(df: DataFrame, value: str) -> tuple[Column, Column]:
-    # Scalar subqueries: each global aggregate is computed once (Spark merges
-    # the two into one pass) and used as a constant, with no join.
-    return (df.agg(F.avg(value)).scalar(), df.agg(F.stddev_samp(value)).scalar())
+    # One scalar subquery of a struct: both values come from a single pass over
+    # the table and enter the plan as constants, with no join.
+    both = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))).scalar()
+    return both["mean"], both["std"]
 
 
 def _zscore(df: DataFrame, value: str) -> Column:
@@ -161,10 +189,13 @@ def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "
     """O15 — rows with ``abs(z) > k`` (strict, unrounded z, sample deviation, both
     tails): ``key, value, z_score`` (2 digits), highest z first.
 
-    A zero deviation makes z NULL and drops every row.
+    A zero deviation makes z NULL and drops every row. The outliers (by
+    Chebyshev at most 1/k^2 of the rows) are dealt out before they are sorted:
+    a global sort samples its input, and so samples them, not the table again.
     """
     return (df.withColumn("_z", _zscore(df, value)).where(F.abs(F.col("_z")) > k)
             .select(key, value, F.round("_z", 2).alias("z_score"))
+            .repartition(key)
             .orderBy(F.col("z_score").desc(), F.col(key).asc()))
 
 
@@ -190,15 +221,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def value_distribution(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
+def value_distribution(df: DataFrame, col: str, normalize: bool = False, weight: str | None = None) -> DataFrame:
     """O23 — per value of ``col``: ``count`` and, with ``normalize``, ``share``
     of all rows (3 digits); most frequent first. NULL is a value of its own.
+    ``weight`` names a column with the number of rows a row stands for.
 
     The share's denominator is the global sum of the per-value counts, a
     scalar subquery (one value, no join); a column with many distinct values
     is never gathered into a single task, as an unpartitioned window would.
     """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
+    counts = df.groupBy(col).agg(rows.alias("count"))
     if normalize:
         total = counts.agg(F.sum("count")).scalar()
         counts = counts.withColumn("share", F.round(F.col("count").cast("double") / total, 3))

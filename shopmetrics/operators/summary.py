@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import MONEY, exact_mean
+from shopmetrics.functions.ratios import exact_mean, total_sql
 from shopmetrics.functions.sql import ident, lit
 
 
@@ -47,7 +47,7 @@ def kpi_summary(funnel: DataFrame, sources: DataFrame, matrix: DataFrame, segmen
     g = segments.agg(F.expr(f"coalesce(max(CASE WHEN segment = {lit(top_tier)} THEN revenue_share_pct END), 0.0D)")
                      .alias("top_tier_revenue_share_pct"))
     o = orders.agg(F.count(F.lit(1)).alias("valid_orders"),
-                   F.expr(f"round(CAST(coalesce(sum(CAST({ident(value)} AS {MONEY})), 0) AS DOUBLE), 2)")
+                   F.expr(f"round(coalesce({total_sql(ident(value))}, 0.0D), 2)")
                    .alias("valid_revenue"))
     # Each part is one row: its values enter as scalar subqueries (Spark merges
     # those over the same part into one), not as joins.

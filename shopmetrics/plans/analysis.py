@@ -4,12 +4,15 @@ This is the reference's analysis script re-expressed: the data-quality
 report, the five export marts (funnel, funnel by source, cohort matrix,
 monthly trend, customer segments) and the KPI summary.
 
-At scale the marts are small aggregates of large tables. Each is written
-once; the KPI summary is then computed from the *written* marts (read back,
-a few rows each) plus one aggregate over valid orders, so it neither
-re-scans the event log three times nor holds a long lineage.
+Text input is parsed once: the tables are first written as Parquet under the
+output folder (``tables/``), and everything reads those, pruned and pushed
+down. Each mart is written once, as Parquet with its types; the KPI summary is
+computed from the *written* marts (a few rows each) plus one aggregate over
+valid orders. CSV copies of the marts for other tools are made from the
+written marts, as one file each if asked.
 
     python -m shopmetrics.plans.analysis INPUT_DIR OUTPUT_DIR [--in-format csv] [--out-format csv]
+        [--single-file] [--input-bytes N --cores N]
 
 ``INPUT_DIR`` holds ``users``, ``events``, ``orders``, ``order_items`` and
 ``products`` as ``{name}.{format}`` (a file or a folder of part files).
@@ -23,7 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from shopmetrics.operators import cohort, funnel, quality, revenue, segments, summary
-from shopmetrics.sources.readers import load_tables, read_table
+from shopmetrics.session import scale_conf
+from shopmetrics.sources.readers import load_tables
 from shopmetrics.sources.sinks import export_marts
 
 
@@ -43,34 +47,52 @@ def analysis_marts(events: DataFrame, orders: DataFrame, unit: str = "user_id",
 
 
 def quality_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The data-quality section: null audit, duplicate pairs, orphans, outliers."""
+    """The data-quality section: null audit and row counts, duplicate pairs, orphans, outliers.
+
+    Null counts and row counts of a table come from one aggregate over it.
+    """
     ev, od, us = tables["events"], tables["orders"], tables["users"]
+    audited = ("events", "users", "orders")
+    counts = quality.null_and_row_counts(tables, audited)
     return {
-        "quality_nulls": quality.null_audit_tables({"events": ev, "users": us, "orders": od}),
+        "quality_nulls": quality.nulls_of(counts),
         "quality_duplicates": quality.duplicate_key_count(ev),
         "quality_orphans": quality.orphan_count(ev, us),
         "quality_outliers": quality.outlier_summary(od),
-        "row_counts": quality.row_counts(tables),
+        "row_counts": quality.row_counts_of(counts),
     }
 
 
-def run(spark: SparkSession, input_dir: str, output_dir: str, in_format: str = "csv",
-        out_format: str = "csv") -> dict[str, str]:
-    """Load, compute, write every mart, then the KPI summary from the written marts."""
+def as_parquet(spark: SparkSession, input_dir: str, output_dir: str, in_format: str) -> dict[str, DataFrame]:
+    """The canonical tables as Parquet: as given, or converted once under the output folder."""
     tables = load_tables(spark, input_dir, in_format)
-    marts = analysis_marts(tables["events"], tables["orders"])
-    small = out_format == "csv"  # single CSV part files for BI tools; marts are small
-    written = export_marts({**quality_report(tables), **marts}, output_dir, fmt=out_format, single_file=small)
+    if in_format == "parquet":
+        return tables
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/tables/{name}.parquet")
+    return load_tables(spark, f"{output_dir.rstrip('/')}/tables", "parquet")
 
-    def back(name: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("multiLine", True).option("inferSchema", True)
-        return reader.csv(written[name]) if out_format == "csv" else read_table(spark, written[name], name,
-                                                                               out_format)
 
-    kpi = summary.kpi_summary(back("funnel_overall"), back("funnel_by_source"), back("cohort_retention"),
-                              back("customer_segments"), cohort.valid_orders(tables["orders"]))
-    written.update(export_marts({"kpi_summary": kpi}, output_dir, fmt=out_format, single_file=small))
-    return written
+def run(spark: SparkSession, input_dir: str, output_dir: str, in_format: str = "csv",
+        out_format: str = "csv", single_file: bool = False) -> dict[str, str]:
+    """Load, compute, write every mart, then the KPI summary from the written marts.
+
+    Returns the folder of each mart in ``out_format``. With ``single_file``,
+    each mart is one part file.
+    """
+    tables = as_parquet(spark, input_dir, output_dir, in_format)
+    marts = {**quality_report(tables), **analysis_marts(tables["events"], tables["orders"])}
+    typed = output_dir if out_format == "parquet" else f"{output_dir.rstrip('/')}/marts"
+    whole = single_file and out_format == "parquet"
+    written = export_marts(marts, typed, fmt="parquet", single_file=whole)
+    back = {name: spark.read.schema(marts[name].schema).parquet(path) for name, path in written.items()}
+    kpi = summary.kpi_summary(back["funnel_overall"], back["funnel_by_source"], back["cohort_retention"],
+                              back["customer_segments"], cohort.valid_orders(tables["orders"]))
+    written.update(export_marts({"kpi_summary": kpi}, typed, fmt="parquet", single_file=whole))
+    if out_format == "parquet":
+        return written
+    back["kpi_summary"] = spark.read.schema(kpi.schema).parquet(written["kpi_summary"])
+    return export_marts(back, output_dir, fmt=out_format, single_file=single_file)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -79,9 +101,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("output_dir")
     ap.add_argument("--in-format", default="csv")
     ap.add_argument("--out-format", default="csv")
+    ap.add_argument("--single-file", action="store_true", help="one part file per mart (marts are small)")
+    ap.add_argument("--input-bytes", type=int, help="size of the input, to size shuffle partitions by")
+    ap.add_argument("--cores", type=int, default=8, help="cores of the cluster, with --input-bytes")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("shopmetrics-analysis").getOrCreate()
-    for name, path in run(spark, args.input_dir, args.output_dir, args.in_format, args.out_format).items():
+    builder = SparkSession.builder.appName("shopmetrics-analysis").config("spark.sql.session.timeZone", "UTC")
+    if args.input_bytes:
+        builder = builder.config(map=scale_conf(args.input_bytes, args.cores))
+    spark = builder.getOrCreate()
+    for name, path in run(spark, args.input_dir, args.output_dir, args.in_format, args.out_format,
+                          args.single_file).items():
         print(f"{name}\t{path}")
 
 

@@ -10,13 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shopmetrics.functions.sql import one_row_per_key
 from shopmetrics.operators import cohort, funnel, quality, revenue, segments, summary
 from shopmetrics.sources import testdata as td
 
 S = td.TEST_STAGES
 VALID = td.TEST_VALID_STATUSES
-TOP_TIER = "VIP (>$400)"
+SESSION = td.SESSION
+# Customers' totals over valid orders have quartiles near 1.1, 1.6 and 2.1 million.
+TIER_BOUNDS = (0.0, 1.0e6, 1.5e6, 2.0e6)
+TIER_LABELS = ("Low (<1.0M)", "Mid (1.0M-1.5M)", "High (1.5M-2.0M)", "VIP (>2.0M)")
+TOP_TIER = TIER_LABELS[-1]
 
 
 def _source_lookup(spark: SparkSession, sf_dir: str) -> dict:
@@ -25,25 +31,25 @@ def _source_lookup(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def q_funnel_overall(spark, d):
-    return funnel.funnel_overall(td.events(spark, d), unit="session_id", stages=S)
+    return funnel.funnel_overall(td.events(spark, d), unit=SESSION, stages=S)
 
 
 def q_funnel_long(spark, d):
-    return funnel.funnel_long(td.events(spark, d), unit="session_id", stages=S)
+    return funnel.funnel_long(td.events(spark, d), unit=SESSION, stages=S)
 
 
 def q_funnel_by_source(spark, d):
-    return funnel.funnel_by(td.events(spark, d), "traffic_source", unit="session_id", stages=S,
+    return funnel.funnel_by(td.events(spark, d), "traffic_source", unit=SESSION, stages=S,
                             **_source_lookup(spark, d))
 
 
 def q_funnel_by_source_compact(spark, d):
-    return funnel.funnel_by_compact(td.events(spark, d), "traffic_source", unit="session_id", stages=S,
+    return funnel.funnel_by_compact(td.events(spark, d), "traffic_source", unit=SESSION, stages=S,
                                     **_source_lookup(spark, d))
 
 
 def q_funnel_by_device(spark, d):
-    return funnel.funnel_by_device(td.events(spark, d), "device_type", unit="session_id", stages=S)
+    return funnel.funnel_by_device(td.events(spark, d), "device_type", unit=SESSION, stages=S)
 
 
 def q_cohort_retention(spark, d):
@@ -59,7 +65,8 @@ def q_cohort_average(spark, d):
 
 
 def q_null_audit_union(spark, d):
-    return quality.null_audit_union(td.events(spark, d, nulls=True), td.orders(spark, d, nulls=True),
+    events = td.events(spark, d, nulls=True).withColumnRenamed("session_day", "session_id")
+    return quality.null_audit_union(events, td.orders(spark, d, nulls=True),
                                     lookup=td.users(spark, d).select("user_id", "traffic_source"),
                                     lookup_key="user_id")
 
@@ -70,57 +77,69 @@ def q_null_audit(spark, d):
 
 
 def q_duplicate_keys(spark, d):
-    return quality.duplicate_keys(td.events(spark, d), ("session_id", "event_type"), limit=20)
+    return quality.duplicate_keys(td.events(spark, d), (*SESSION, "event_type"), limit=20)
 
 
 def q_duplicate_key_count(spark, d):
-    return quality.duplicate_key_count(td.events(spark, d), ("session_id", "event_type"))
+    return quality.duplicate_key_count(td.events(spark, d), (*SESSION, "event_type"))
 
 
 def q_orphan_count(spark, d):
-    parents = td.users(spark, d).where("traffic_source <> 'HOUSEHOLD'")
-    return quality.orphan_count(td.events(spark, d), parents, "user_id", "user_id")
+    return quality.orphan_count(td.orders(spark, d), td.order_items(spark, d), "order_id", "order_id",
+                                name="orders_without_items")
+
+
+def q_orphan_event_rows(spark, d):
+    return quality.orphan_count(td.events(spark, d), td.users(spark, d), "user_id", "user_id")
 
 
 def q_stage_integrity(spark, d):
-    return quality.stage_integrity(td.events(spark, d), "session_id", requires="click", stage="purchase")
+    return quality.stage_integrity(td.events(spark, d), SESSION, requires="click", stage="purchase")
 
 
 def q_zscore_outliers(spark, d):
-    return quality.zscore_outliers(td.purchase_orders(spark, d), "total_sale_price", "order_id", k=3)
+    return quality.zscore_outliers(td.event_orders(spark, d), "total_sale_price", "order_id", k=3)
 
 
 def q_outlier_summary(spark, d):
-    return quality.outlier_summary(td.purchase_orders(spark, d), "total_sale_price", k=3)
+    return quality.outlier_summary(td.event_orders(spark, d), "total_sale_price", k=3)
+
+
+def _event_trend(spark, d):
+    """Views as visits and purchases as orders, hour by hour (some hours have no order)."""
+    return dict(events=td.events(spark, d), orders=td.event_orders(spark, d), grain="hour", visit_event="view",
+                session=SESSION, status_in=td.EVENT_ORDER_STATUS, order_id_unique=True,
+                session_determines_user=True)
 
 
 def q_revenue_trend_hourly(spark, d):
-    return revenue.revenue_trend(td.events(spark, d), td.purchase_orders(spark, d), grain="hour",
-                                 visit_event="view", status=None)
+    return revenue.revenue_trend(**_event_trend(spark, d))
 
 
 def q_revenue_trend_monthly(spark, d):
     return revenue.revenue_trend(td.order_visits(spark, d), td.orders(spark, d), grain="month",
-                                 status_in=VALID)
+                                 status_in=VALID, order_id_unique=True, session_determines_user=True)
 
 
 def q_revenue_trend_export(spark, d):
-    return revenue.revenue_trend_export(td.order_visits(spark, d), td.orders(spark, d), grain="month",
-                                        status_in=VALID)
+    return revenue.revenue_trend_export(**_event_trend(spark, d))
 
 
 def q_trend_summary(spark, d):
-    return revenue.trend_summary(q_revenue_trend_export(spark, d), period="month")
+    return revenue.trend_summary(q_revenue_trend_export(spark, d), period="hour")
 
 
 def q_spend_segments(spark, d):
-    return segments.spend_segments(td.purchase_orders(spark, d), user="session_id", status=None)
+    return segments.spend_segments(td.orders(spark, d), bounds=TIER_BOUNDS, labels=TIER_LABELS, status_in=VALID)
 
 
 def q_kpi_summary(spark, d):
+    # A session has one user and a user one source, so the overall funnel is the
+    # sum of the per-source one: both come from the same aggregate.
+    counts = funnel.stage_counts(td.events(spark, d), ["traffic_source"], SESSION, S, **_source_lookup(spark, d))
     return summary.kpi_summary(
-        funnel=q_funnel_long(spark, d),
-        sources=q_funnel_by_source_compact(spark, d),
+        funnel=funnel.long_rows(funnel.overall_from(counts, S), S),
+        sources=funnel.compact_rows(counts, "traffic_source", S),
         matrix=q_cohort_matrix(spark, d),
         segments=q_spend_segments(spark, d),
         orders=td.valid_orders(spark, d),
@@ -141,14 +160,30 @@ def q_order_status_counts(spark, d):
     return quality.value_distribution(td.orders(spark, d), "status")
 
 
+def q_order_status_share(spark, d):
+    return quality.value_distribution(td.orders(spark, d), "status", normalize=True)
+
+
 def q_event_type_share(spark, d):
     return quality.value_distribution(td.events(spark, d), "event_type", normalize=True)
 
 
+def q_event_type_counts(spark, d):
+    return quality.value_distribution(td.events(spark, d), "event_type")
+
+
 def q_traffic_source_share(spark, d):
     return quality.value_distribution(td.users(spark, d), "traffic_source", normalize=True)
 
 
+def q_order_source_share(spark, d):
+    """Traffic source of orders: the source of each order's user, counted per user before the join."""
+    per_user = td.orders(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    source = one_row_per_key(td.users(spark, d), "user_id", ["traffic_source"])
+    return quality.value_distribution(per_user.join(source, "user_id", "left"), "traffic_source", normalize=True,
+                                      weight="_n")
+
+
 def q_population_profile(spark, d):
     return quality.population_profile(td.events(spark, d), td.orders(spark, d))
 
@@ -170,7 +205,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_audit": q_null_audit,                              # O10
     "duplicate_keys": q_duplicate_keys,                      # O11
     "duplicate_key_count": q_duplicate_key_count,            # O12
-    "orphan_count": q_orphan_count,                          # O13
+    "orphan_count": q_orphan_count,                          # O13, orders without line items
+    "orphan_event_rows": q_orphan_event_rows,                # O13, events without a user
     "stage_integrity": q_stage_integrity,                    # O14
     "zscore_outliers": q_zscore_outliers,                    # O15
     "outlier_summary": q_outlier_summary,                    # O16
@@ -182,6 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_summary": q_kpi_summary,                            # O21
     "row_counts": q_row_counts,                              # O22
     "order_status_counts": q_order_status_counts,            # O23
+    "order_status_share": q_order_status_share,              # O23, normalised
+    "event_type_counts": q_event_type_counts,                # O23
+    "order_source_share": q_order_source_share,              # O23, normalised, source of orders
     "event_type_share": q_event_type_share,                  # O23, normalised
     "traffic_source_share": q_traffic_source_share,          # O23, normalised
     "population_profile": q_population_profile,              # O24

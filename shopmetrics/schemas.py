@@ -2,6 +2,8 @@
 
 Column names here are the defaults of every operator; each operator also
 takes its column names as arguments, so other layouts work unchanged.
+Timestamps are wall-clock times without a zone (``TIMESTAMP_NTZ``), so no
+period depends on the session's time zone.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
-    TimestampType,
+    TimestampNTZType,
 )
 
 
@@ -28,7 +30,7 @@ USERS = _s(
     ("country", StringType(), True),
     ("state", StringType(), True),
     ("traffic_source", StringType(), True),
-    ("created_at", TimestampType(), True),
+    ("created_at", TimestampNTZType(), True),
 )
 
 EVENTS = _s(
@@ -36,7 +38,7 @@ EVENTS = _s(
     ("session_id", LongType(), True),
     ("user_id", LongType(), True),
     ("event_type", StringType(), True),
-    ("created_at", TimestampType(), True),
+    ("created_at", TimestampNTZType(), True),
     ("device_type", StringType(), True),
     ("browser", StringType(), True),
     ("traffic_source", StringType(), True),
@@ -50,7 +52,7 @@ ORDERS = _s(
     ("status", StringType(), True),
     ("num_of_item", IntegerType(), True),
     ("total_sale_price", DoubleType(), True),
-    ("created_at", TimestampType(), True),
+    ("created_at", TimestampNTZType(), True),
     ("traffic_source", StringType(), True),
 )
 
@@ -61,9 +63,9 @@ ORDER_ITEMS = _s(
     ("product_id", LongType(), True),
     ("status", StringType(), True),
     ("sale_price", DoubleType(), True),
-    ("created_at", TimestampType(), True),
-    ("shipped_at", TimestampType(), True),
-    ("returned_at", TimestampType(), True),
+    ("created_at", TimestampNTZType(), True),
+    ("shipped_at", TimestampNTZType(), True),
+    ("returned_at", TimestampNTZType(), True),
 )
 
 PRODUCTS = _s(

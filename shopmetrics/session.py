@@ -7,7 +7,6 @@ DataFrames. These helpers are for scripts, tests and the benchmark.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -53,23 +52,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only when unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as given; a machine-local folder is chosen only when nothing is set, as
-    in local tests.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="shopmetrics-ckpt-")
-    sc.setCheckpointDir(path)
-    return path

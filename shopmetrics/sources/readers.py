@@ -1,41 +1,64 @@
 """Scans of the canonical tables.
 
-CSV is read with the declared schema (no inference pass over the data) and
-an explicit timestamp format; Parquet carries its own schema. Either way
-the result is lazy, so column pruning and filter pushdown reach the scan.
+CSV is read with the declared schema (no inference pass over the data) and an
+explicit timestamp format. Whole numbers are accepted as pandas writes them
+from a column with missing values (``7.0``); any other fraction in such a
+column is an error. Parquet columns are cast to the declared types where the
+file holds others. The result is lazy, so column pruning and filter pushdown
+reach the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
+from shopmetrics.functions.sql import ident, lit
 from shopmetrics.schemas import TABLES
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
+def _whole(name: str, kind: DataType) -> Column:
+    """A text column as whole numbers; a text that is none fails the query."""
+    c = ident(name)
+    bad = f"raise_error(concat({lit(name + ': not a whole number: ')}, {c}))"
+    return F.expr(
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} RLIKE '^[+-]?[0-9]+([.]0*)?$' "
+        f"THEN CAST(split_part({c}, '.', 1) AS {kind.simpleString()}) "
+        f"ELSE CAST({bad} AS {kind.simpleString()}) END").alias(name)
+
+
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     """Read one canonical table from ``path`` (a file or a folder of part files)."""
+    declared = TABLES[name]
     if fmt == "csv":
-        return (spark.read.schema(TABLES[name])
-                .option("header", True)
-                .option("timestampFormat", TIMESTAMP_FORMAT)
-                .option("mode", "FAILFAST")
-                .csv(path))
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.format(fmt).load(path)
+        as_text = StructType([StructField(f.name, StringType() if isinstance(f.dataType, IntegralType) else f.dataType)
+                              for f in declared])
+        raw = (spark.read.schema(as_text)
+               .option("header", True)
+               .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+               .option("mode", "FAILFAST")
+               .csv(path))
+        return raw.select(*[_whole(f.name, f.dataType) if isinstance(f.dataType, IntegralType) else F.col(f.name)
+                            for f in declared])
+    raw = spark.read.format(fmt).load(path)
+    return raw.select(*[F.col(f.name) if raw.schema[f.name].dataType == f.dataType
+                        else F.col(f.name).cast(f.dataType) for f in declared])
 
 
-def load_tables(spark: SparkSession, base: str, fmt: str = "csv",
-                names: tuple[str, ...] = tuple(TABLES)) -> dict[str, DataFrame]:
-    """Read ``{base}/{name}.{fmt}`` for each canonical table and register temp views.
+def load_tables(spark: SparkSession, base: str, fmt: str = "csv", names: tuple[str, ...] = tuple(TABLES),
+                views: bool = False) -> dict[str, DataFrame]:
+    """Read ``{base}/{name}.{fmt}`` for each canonical table.
 
-    The views let the same tables be queried with ``spark.sql``.
+    With ``views``, a temporary view of each table's name is registered, so the
+    tables can be queried with ``spark.sql``; it replaces a view of that name.
     """
     out = {}
     for n in names:
         df = read_table(spark, f"{base.rstrip('/')}/{n}.{fmt}", n, fmt)
-        df.createOrReplaceTempView(n)
+        if views:
+            df.createOrReplaceTempView(n)
         out[n] = df
     return out

@@ -9,13 +9,13 @@ which has an exact DuckDB counterpart in ``shopmetrics.plans.oracle``:
 =================  ===========================================================
 canonical          derived from
 =================  ===========================================================
-events.session_id  ``user_id * 1000000 + days since 1970 of ts``: one session per user-day
+session            ``(user_id, session_day)``, the date of ``ts``: one session per user-day
 events.device_type ``k`` of the JSON ``props``: < 52 mobile, < 90 desktop, else tablet
 traffic_source     ``customer.c_mktsegment`` of the event's user
 funnel stages      view -> click -> signup -> purchase (``error`` is outside)
 users              ``customer``
 orders             ``orders`` (valid = status F or O), 80 months of history
-purchase orders    purchase events: ``event_id``, ``user_id``, ``ts``, ``value``
+event orders       events: ``event_id``, ``user_id``, ``event_type`` as status, ``ts``, ``value``
 order_items        ``lineitem``
 products           ``part``
 =================  ===========================================================
@@ -34,12 +34,7 @@ DEVICE_CUTS = ((52, "mobile"), (90, "desktop"))
 DEVICE_OTHER = "tablet"
 
 
-SESSION_STRIDE = 1_000_000  # days per user in the session key: no two users' keys meet
-
-
-def session_key(user: str, ts: str) -> str:
-    """A BIGINT session key per user-day (SQL): cheap to build and to hash, unlike text."""
-    return f"{user} * {SESSION_STRIDE} + unix_date(to_date({ts}))"
+SESSION = ("user_id", "session_day")  # the columns of a session's key
 
 
 # Declared schemas of the test tables read here: no footer-reading inference
@@ -72,7 +67,7 @@ def events(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     etype = "nullif(event_type, 'error')" if nulls else "event_type"
     return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        f"{session_key('user_id', 'ts')} AS session_id",
+        "to_date(ts) AS session_day",
         "user_id",
         f"{etype} AS event_type",
         "ts AS created_at",
@@ -108,10 +103,13 @@ def order_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'home' AS event_type")
 
 
-def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase events as orders: long-tailed prices, one session per user-day."""
-    return table(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
-        "event_id AS order_id", "user_id", f"{session_key('user_id', 'ts')} AS session_id",
+EVENT_ORDER_STATUS = ("purchase",)  # the status of an event that is a valid order
+
+
+def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an order whose status is its type: long-tailed amounts over one month."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS order_id", "user_id", "to_date(ts) AS session_day", "event_type AS status",
         "value AS total_sale_price", "ts AS created_at")
 
 

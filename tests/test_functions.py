@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.ratios import exact_mean, money_sum, pct, safe_div
+from shopmetrics.functions.ratios import exact_mean, pct, safe_div, total
 from shopmetrics.functions.sql import ident, lit
 from shopmetrics.functions.time import month_offset, period_start, period_text
 
@@ -18,10 +18,18 @@ def test_pct_and_div(spark):
     assert got[2]["d"] is None
 
 
-def test_money(spark):
-    df = spark.createDataFrame([(0.1,), (0.2,), (0.7,), (None,)], "x DOUBLE")
-    r = df.agg(money_sum("x").alias("s"), exact_mean("x").alias("m")).first()
-    assert r["s"] == 1.0 and abs(r["m"] - 1.0 / 3) < 1e-15
+def test_total_and_mean_are_unrounded_and_exact(spark):
+    def of(*values):
+        df = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+        return tuple(df.agg(total("x").alias("s"), exact_mean("x").alias("m")).first())
+
+    s, m = of(0.1, 0.2, 0.7, None)
+    assert s == 1.0 and abs(m - 1.0 / 3) < 1e-15
+    assert of(0.004, 0.004) == (0.008, 0.004)
+    assert of(1e-7, 1e-7) == (2e-7, 1e-7)                     # below the exact range: summed as doubles
+    assert of(2e16, 1.0)[0] == 2e16 + 1.0 and of(1e300)[0] == 1e300
+    assert of(float("nan"), 3.0) == (3.0, 3.0)                 # NaN is a missing value
+    assert of(None, float("nan")) == (None, None) and of() == (None, None)
 
 
 def test_period_start_ntz_and_ltz(spark):

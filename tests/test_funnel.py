@@ -166,3 +166,33 @@ def test_lookup_with_sessions_regroups_per_key(spark):
                                      lookup_key="user_id", unit_determines_key=True).collect()}
     assert got == want
     assert want["Email"][0] == 2 and want["Email"][4] == 1 and want[None][0] == 1   # session 4; null session skipped
+
+
+def test_repeated_lookup_rows_multiply_nothing(spark):
+    ev = events(spark, [(1, 1, "home", "2024-01-01 00:00:00", "m", None)])
+    users = spark.createDataFrame([(1, "Email"), (1, "Search")], "user_id BIGINT, traffic_source STRING")
+    for exact in (True, False):
+        rows = funnel.funnel_by(ev.drop("traffic_source"), "traffic_source", lookup=users, lookup_key="user_id",
+                                unit_determines_key=exact).collect()
+        assert [(r["traffic_source"], r["users_home"]) for r in rows] == [("Email", 1)]
+
+
+def test_unit_of_several_columns(spark):
+    ev = events(spark, [(1, 1, "home", "2024-01-01 00:00:00", "m", "E"),
+                        (1, 2, "home", "2024-01-01 00:00:00", "m", "E"),
+                        (1, 2, "purchase", "2024-01-01 00:00:00", "m", "E"),
+                        (None, 2, "home", "2024-01-01 00:00:00", "m", "E")])
+    row = funnel.funnel_overall(ev, unit=("user_id", "session_id")).first()
+    assert row["stage_1_home"] == 2 and row["stage_5_purchase"] == 1
+    by = funnel.funnel_by(ev, "traffic_source", unit=("user_id", "session_id")).first()
+    assert by["users_home"] == 2 and by["users_purchase"] == 1
+
+
+def test_overall_rows_from_per_source_counts(spark):
+    ev = events(spark, [(1, 1, "home", "2024-01-01 00:00:00", "m", "E"),
+                        (2, 2, "home", "2024-01-01 00:00:00", "m", "S"),
+                        (2, 2, "cart", "2024-01-01 00:00:00", "m", "S"),
+                        (3, 3, "home", "2024-01-01 00:00:00", "m", None)])
+    counts = funnel.stage_counts(ev, ["traffic_source"], "user_id", funnel.DEFAULT_STAGES)
+    got = funnel.long_rows(funnel.overall_from(counts, funnel.DEFAULT_STAGES)).collect()
+    assert got == funnel.funnel_long(ev).collect()

@@ -22,7 +22,7 @@ def test_month0_retention_is_100_and_size_is_month0(spark):
 def test_segment_shares_and_customers(spark):
     rows = Q["spend_segments"](spark, SF).collect()
     assert abs(sum(r["revenue_share_pct"] for r in rows) - 100.0) <= 0.2
-    buyers = (td.purchase_orders(spark, SF).groupBy("session_id")
+    buyers = (td.valid_orders(spark, SF).groupBy("user_id")
               .agg(F.sum(F.col("total_sale_price").cast("decimal(18,2)")).alias("s")).where("s > 0").count())
     assert sum(r["customers"] for r in rows) == buyers
 
@@ -46,8 +46,8 @@ def test_dropoff_plus_proceed_is_100(spark):
 def test_two_funnel_forms_agree(spark):
     ev = td.events(spark, SF)
     ours = {r["device_type"]: (r[f"users_{td.TEST_STAGES[0]}"], r[f"users_{td.TEST_STAGES[-1]}"])
-            for r in funnel.funnel_by_device(ev, unit="session_id", stages=td.TEST_STAGES).collect()}
+            for r in funnel.funnel_by_device(ev, unit=td.SESSION, stages=td.TEST_STAGES).collect()}
     direct = ev.groupBy("device_type").agg(
-        F.count_distinct(F.when(F.col("event_type") == td.TEST_STAGES[0], F.col("session_id"))),
-        F.count_distinct(F.when(F.col("event_type") == td.TEST_STAGES[-1], F.col("session_id"))))
+        F.count_distinct(F.when(F.col("event_type") == td.TEST_STAGES[0], F.struct(*td.SESSION))),
+        F.count_distinct(F.when(F.col("event_type") == td.TEST_STAGES[-1], F.struct(*td.SESSION))))
     assert ours == {r[0]: (r[1], r[2]) for r in direct.collect()}

@@ -17,10 +17,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # the training-data queries have tests of their own where SQL cannot express them
+    assert set(entry.queries()) - set(entry.LLM_QUERIES) == set(entry.oracle_sql()) - set(entry.LLM_ORACLE_SQL)
+    assert set(entry.LLM_ORACLE_SQL) <= set(entry.LLM_QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.LLM_QUERIES)))
 def test_query_matches_oracle(spark, con, name):
     problems = compare(spark, SF, name, entry.queries()[name], entry.oracle_sql()[name], con)
     assert not problems, "\n".join(problems)

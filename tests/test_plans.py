@@ -8,14 +8,19 @@ import __spark_entry__ as entry
 from shopmetrics.plans.inspect import count_nodes, has_python, node_names, physical_plan, raw_shuffles
 
 SF = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
+# the training-data operators use Python in tasks and have tests of their own
+NAMES = sorted(set(entry.queries()) - set(entry.LLM_QUERIES))
+
+
 def _q(spark, name):
     return entry.queries()[name](spark, SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_no_python_in_any_plan(spark, name):
     assert not has_python(_q(spark, name))
 
@@ -55,6 +60,35 @@ def test_trend_filters_reach_the_scan(spark):
                for line in text.splitlines())
 
 
+def test_trend_copies_no_rows(spark):
+    for name in ("revenue_trend_hourly", "revenue_trend_monthly", "revenue_trend_export", "trend_summary"):
+        assert "Expand" not in node_names(_q(spark, name)), name
+
+
+def test_outliers_scan_their_table_twice():
+    # once for mean and deviation together, once for the rows; the sort samples dealt-out outliers
+    import glob
+    import json
+    import subprocess
+    import sys
+    import tempfile
+
+    logs = tempfile.mkdtemp(prefix="events-")
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+            "from shopmetrics.session import local_session\nimport __spark_entry__ as e\n"
+            "s = local_session(cores=2, extra={'spark.eventLog.enabled': 'true', "
+            f"'spark.eventLog.compress': 'false', 'spark.eventLog.dir': 'file://{logs}'}})\n"
+            f"e.queries()['zscore_outliers'](s, {SF!r}).collect()\ns.stop()\n")
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    read = 0
+    for path in glob.glob(f"{logs}/**/*", recursive=True):
+        if os.path.isfile(path) and not os.path.basename(path).startswith("."):
+            for line in open(path, errors="replace"):
+                if '"SparkListenerTaskEnd"' in line:
+                    read += json.loads(line)["Task Metrics"]["Input Metrics"]["Records Read"]
+    assert read == 2 * 10_000
+
+
 def test_cohort_has_no_distinct_count(spark):
     assert "Expand" not in node_names(_q(spark, "cohort_retention"))
 
@@ -70,7 +104,7 @@ def test_global_values_are_scalar_subqueries_not_joins(spark):
 RAW_SHUFFLE_ALLOWED = {"zscore_outliers"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - RAW_SHUFFLE_ALLOWED))
+@pytest.mark.parametrize("name", sorted(set(NAMES) - RAW_SHUFFLE_ALLOWED))
 def test_rows_are_aggregated_before_every_shuffle(spark, name):
     assert raw_shuffles(_q(spark, name)) == []
 

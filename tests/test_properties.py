@@ -63,17 +63,18 @@ def test_cohort_retention_equals_self_join(spark, rows):
     assert got == {k: (size[k[0]], len(v)) for k, v in cells.items()}
 
 
-spend_rows = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 60000)), min_size=0, max_size=20)
+spend_rows = st.lists(st.tuples(st.integers(0, 6), st.one_of(st.none(), st.integers(0, 60000))), min_size=0, max_size=20)
 
 
 @SETTINGS
 @given(spend_rows)
 def test_spend_tiers_are_right_closed(spark, rows):
-    data = [(i, u, "Complete", cents / 100, dt.datetime(2024, 1, 1)) for i, (u, cents) in enumerate(rows)]
+    data = [(i, u, "Complete", None if cents is None else cents / 100, dt.datetime(2024, 1, 1))
+            for i, (u, cents) in enumerate(rows)]
     got = {r["segment"]: r["customers"] for r in segments.spend_segments(orders(spark, data)).collect()}
     totals = defaultdict(int)
     for u, cents in rows:
-        totals[u] += cents
+        totals[u] += cents or 0
     want = defaultdict(int)
     for cents in totals.values():
         for label, upper in zip(segments.DEFAULT_LABELS, (5000, 15000, 40000, None)):

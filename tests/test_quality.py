@@ -69,6 +69,7 @@ def test_duplicates_top_k_is_deterministic(spark):
     assert rows[1] == dict(session_id=None, event_type="home", occurrences=2)   # null group kept, sorted first
     assert [r["session_id"] for r in rows[2:5]] == [2, 100, 101]
     assert quality.duplicate_key_count(_dups(spark)).first()["duplicate_pairs"] == 28
+    assert quality.duplicate_keys(_dups(spark), limit=None).count() == 28
 
 
 def test_orphans(spark):
@@ -140,3 +141,26 @@ def test_null_audit_union_lookup_equals_joined(spark):
     empty = quality.null_audit_union(ev.drop("traffic_source").where(F.lit(False)), _null_orders(spark),
                                      lookup=users, lookup_key="user_id").first()
     assert empty["total_rows"] == 0 and empty["null_user_id"] is None
+
+
+def test_merged_counts_equal_the_separate_ones(spark):
+    tables = {"events": _null_events(spark), "orders": _null_orders(spark),
+              "items": _null_orders(spark).where(F.lit(False))}
+    counts = quality.null_and_row_counts(tables, ("events", "orders"))
+    assert sorted(quality.row_counts_of(counts).collect()) == sorted(quality.row_counts(tables).collect())
+    want = quality.null_audit_tables({k: tables[k] for k in ("events", "orders")})
+    assert sorted(quality.nulls_of(counts).collect()) == sorted(want.collect())
+
+
+def test_repeated_lookup_rows_multiply_nothing(spark):
+    ev = _null_events(spark).drop("traffic_source")
+    users = spark.createDataFrame([(1, "Email"), (1, "Search"), (2, "Email"), (3, "Search"), (3, "Search")],
+                                  "user_id BIGINT, traffic_source STRING")
+    rows = quality.null_audit_union(ev, _null_orders(spark), lookup=users, lookup_key="user_id").first()
+    assert rows["total_rows"] == 6
+
+
+def test_weighted_distribution(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 2)], "v STRING, n BIGINT")
+    rows = quality.value_distribution(df, "v", normalize=True, weight="n").collect()
+    assert [tuple(r) for r in rows] == [("a", 5, 0.833), ("b", 1, 0.167)]

@@ -54,7 +54,7 @@ def test_trend_export_and_summary(spark):
                           "avg_order_value", "conversion_pct", "month_str", "mom_growth"]
     rows = as_dicts(ex)
     assert [r["month_str"] for r in rows] == ["2024-01", "2024-02", "2024-04"]
-    assert rows[2]["mom_growth"] == pytest.approx(100.0 * (125.01 - 200.0) / 200.0)
+    assert rows[2]["mom_growth"] == pytest.approx(100.0 * (125.005 - 200.0) / 200.0)   # prices are summed unrounded
     s = revenue.trend_summary(ex).first()
     assert s["total_revenue"] == 325.01
     assert s["peak_month"] == dt.datetime(2024, 2, 1)
@@ -63,6 +63,40 @@ def test_trend_export_and_summary(spark):
     assert s["avg_conversion_pct"] == pytest.approx((0.0 + 100.0 + 200.0) / 3)
 
 
+def test_trend_without_copies_equals_distinct_counts(spark):
+    ev, od = _trend_inputs(spark)
+    od = od.dropDuplicates(["order_id"])
+    a = revenue.revenue_trend(ev, od).collect()
+    b = revenue.revenue_trend(ev, od, order_id_unique=True, session_determines_user=True).collect()
+    assert a == b and len(a) == 3
+    c = revenue.revenue_trend(ev, od, session=["user_id", "session_id"], order_id_unique=True).collect()
+    assert a == c                                                 # a session key of two columns
+
+
+def test_period_without_timestamp_comes_last(spark):
+    ev, od = _trend_inputs(spark)
+    ev = ev.unionByName(events(spark, [(9, 9, "home", None, "mobile", "Email")]))
+    rows = as_dicts(revenue.revenue_trend(ev, od))
+    assert [r["month"] is None for r in rows] == [False, False, False, True]
+    assert rows[0]["mom_revenue_growth_pct"] is None
+    assert rows[-1]["total_revenue"] == 0.0 and rows[-1]["mom_revenue_growth_pct"] == -100.0
+    export = as_dicts(revenue.revenue_trend_export(ev, od))
+    assert export[-1]["month"] is None and export[-1]["mom_growth"] == -100.0
+
+
+def test_trend_keeps_small_and_large_prices(spark):
+    ev, _ = _trend_inputs(spark)
+    od = orders(spark, [(1, 1, "Complete", 0.004, "2024-02-03 10:06:00"),
+                        (2, 1, "Complete", 0.004, "2024-02-03 10:06:00"),
+                        (3, 1, "Complete", 2e16, "2024-04-03 10:06:00")])
+    rows = as_dicts(revenue.revenue_trend_export(ev, od))
+    assert rows[1]["total_revenue"] == 0.008 and rows[1]["avg_order_value"] == 0.004
+    assert rows[2]["total_revenue"] == 2e16
+    rates = spark.createDataFrame([(1, 1.0, 0.004), (2, 1.0, 0.004)],
+                                  "month INT, total_revenue DOUBLE, conversion_pct DOUBLE")
+    assert revenue.trend_summary(rates).first()["avg_conversion_pct"] == 0.004
+
+
 def test_hour_grain(spark):
     ev, od = _trend_inputs(spark)
     rows = as_dicts(revenue.revenue_trend(ev, od, grain="hour"))
@@ -125,6 +159,20 @@ def test_tier_edges(spark):
     assert sum(r["revenue_share_pct"] for r in rows) == pytest.approx(100.0, abs=0.2)
 
 
+def test_tiers_use_unrounded_spend_and_skip_missing(spark):
+    od = orders(spark, [(1, 1, "Complete", 50.004, "2024-01-01 00:00:00"),
+                        (2, 2, "Complete", 0.004, "2024-01-01 00:00:00"),
+                        (3, 3, "Complete", 10.006, "2024-01-01 00:00:00"),
+                        (4, 3, "Complete", 10.006, "2024-01-01 00:00:00"),
+                        (5, 4, "Complete", None, "2024-01-01 00:00:00"),
+                        (6, 5, "Complete", float("nan"), "2024-01-01 00:00:00"),
+                        (7, 6, "Complete", None, "2024-01-01 00:00:00"),
+                        (8, 6, "Complete", 1.0, "2024-01-01 00:00:00")])
+    rows = as_dicts(segments.spend_segments(od))
+    assert [(r["segment"], r["customers"]) for r in rows] == [("Low (<$50)", 3), ("Mid ($50-$150)", 1)]
+    assert rows[1]["avg_spend"] == 50.004
+
+
 # The reference's published tiers (customers, revenue) and shares.
 GOLDEN_TIERS = [("Low (<$50)", 636, 636, 18228.27, 17.8), ("Mid ($50-$150)", 712, 724, 61894.29, 60.4),
                 ("High ($150-$400)", 115, 122, 22315.11, 21.8)]
