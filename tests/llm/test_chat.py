@@ -1,0 +1,84 @@
+"""Chat formatting: layouts, round trip, loss mask, ordering, edge rows."""
+
+import hashlib
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from shopmetrics.llm import chat
+
+HARD = st.text(alphabet="\\#<>:/turn \n### Assistant", max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.one_of(HARD, st.text(max_size=8)), st.one_of(HARD, st.text(max_size=40))), max_size=6))
+def test_round_trip(turns):
+    formatted = [chat.format_turn(r, t) for r, t in turns]
+    assert chat.read_back("".join(f[0] for f in formatted)) == turns
+    for (role, text), (out, a, b) in zip(turns, formatted):
+        assert chat.unescape(out[a:b]) == (text if role == chat.ASSISTANT else "")
+
+
+def test_foreign_text_is_refused():
+    with pytest.raises(ValueError):
+        chat.read_back("### user: hello")
+
+
+@pytest.mark.parametrize("record, turns", [
+    ({"role": "user", "text": "a"}, [("user", "a")]),
+    ({"role": None, "text": None}, [("", "")]),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]},
+     [("user", "a"), ("assistant", "b")]),
+    ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]},
+     [("user", "a"), ("assistant", "b")]),
+    ({"prompt": "a", "completion": "b"}, [("user", "a"), ("assistant", "b")]),
+    ({"instruction": "a", "input": "x", "output": "b"}, [("user", "a\nx"), ("assistant", "b")]),
+    ({"instruction": "a", "input": "", "output": "b"}, [("user", "a"), ("assistant", "b")]),
+    ({"system": "", "prompt": "a", "response": "b"}, [("user", "a"), ("assistant", "b")]),
+    ({"question": "a", "answer": "b"}, [("user", "a"), ("assistant", "b")]),
+    ({"something": "else"}, None),
+])
+def test_layouts(record, turns):
+    assert chat.canonical_turns(record) == turns
+
+
+def test_fingerprint_ignores_order_and_list_length():
+    a = {"messages": [{"role": "u", "content": "x"}] * 3}
+    b = {"messages": [{"content": "x", "role": "u"}]}
+    assert chat.fingerprint(chat.field_paths(a)) == chat.fingerprint(chat.field_paths(b))
+    assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
+
+
+def _digest(rows):
+    whole = "".join(f"{r}\n{t}\n" for r, t in rows)
+    loss = "".join(t for r, t in rows if r == "assistant")
+    return (len(rows), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_conversations(spark):
+    rows = [(1, 1, "assistant", "b </turn> ### x"), (1, 0, "user", "a"), (None, 0, "user", "n"), (2, 0, "user", None),
+            (2, 0, None, "tie"), (2, None, "assistant", "first"), (3, 0, "user", "z" * 300_000), (1, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    records = df.selectExpr("conv_id", "turn", "to_json(struct(role, text), map('ignoreNullFields', 'false')) AS record",
+                            "'x' AS part", "'x' AS formatted", "'x' AS text")
+    turns = chat.read_records(records, "record", ("conv_id", "turn"))
+    assert chat.unknown_layouts(turns).first()["unknown"] == 0
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.conversation_digests(
+        chat.format_turns(turns, ("conv_id", "turn")), "conv_id", ("turn",)).collect()}
+    assert got == {1: _digest([("user", "a"), ("user", "a"), ("assistant", "b </turn> ### x")]),
+                   None: _digest([("user", "n")]), 2: _digest([("assistant", "first"), ("", "tie"), ("user", "")]),
+                   3: _digest([("user", "z" * 300_000)])}
+    empty = chat.format_turns(turns.limit(0), ("conv_id", "turn"))
+    assert chat.conversation_digests(empty, "conv_id", ("turn",)).count() == 0
+
+
+def test_unknown_records_are_counted(spark):
+    records = spark.createDataFrame([(1, json.dumps({"prompt": "a", "completion": "b"})), (2, "{}"), (3, None),
+                                     (4, "no json"), (5, '{"messages": 3}')], "id BIGINT, record STRING")
+    turns = chat.read_records(records, "record", ("id",))
+    assert chat.unknown_layouts(turns).first()["unknown"] == 4
+    assert chat.format_turns(turns, ("id", "part")).count() == 2
+    report = {r["layout"]: r["records"] for r in chat.fingerprint_report(records.where("id < 2"), "record").collect()}
+    assert report == {"prompt_completion": 1}

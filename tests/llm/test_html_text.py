@@ -1,0 +1,66 @@
+"""Main text extraction: contract cases, and a template-bound brute force over the given pages."""
+
+import html
+import os
+import re
+
+import pytest
+
+from shopmetrics.llm import html_text
+from tests.llm.data import with_clashes
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("", ""), ("<html></html>", ""),
+    ("<article><h1>T &amp; t</h1><p>a\n  b</p><p>c<br>d<p>e</article>", "T & t\n\na b\n\nc d\n\ne"),
+    ("<nav><ul><li><a href=x>Menu</a></ul></nav><article><p>x</p></article><footer>f</footer>", "x"),
+    ('<article>x<script>var t="</p>";</script><style>p{}</style><p title="a>b">y</article>', "x\n\ny"),
+    ("<article><p>one</p><aside>no</aside><p>two</p><form>no</form><div class='ad'>no</div><p>three</p></article>",
+     "one\n\ntwo\n\nthree"),
+    ("<article><p>x</p><section id=comments><article class=comment><p>no</p></article></section></article>", "x"),
+    ("<article><p>open <!-- never closed <p>no", "open"),
+    ("<article><p>5 &lt; 6 &#233; &unknown; &am</p></article>", "5 < 6 é &unknown; &am"),
+    ("<div class='cookie-notice'>no no no</div><main><p>x</p></main>", "x"),
+    ("<article><p hidden>no</p><p style='display: none'>no</p><p>x</p></article>", "x"),
+    ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+])
+def test_cases(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_surge_and_dive_without_a_declared_article():
+    long = "Long sentence of the main text, " * 8
+    page = (f"<body><div class='top'><a href=1>one</a> <a href=2>two</a></div><div>{'menu ' * 3}</div>"
+            f"<div class='content-with-sidebar'><h1>Title</h1><p>{long}</p><p>short</p>"
+            f"<div class='ad'>buy</div><p>last</p></div><div class='sidebar'>{long}</div></body>")
+    assert html_text.main_text(page) == f"Title\n\n{long.strip()}\n\nshort\n\nlast"
+
+
+def test_distribution():
+    assert html_text.kept_spans([0, 5, 5, 0, 0, 0, 200, 0, 10, 0, 0, 0], 120) == [(6, 9)]
+    assert html_text.kept_spans([], 120) == []
+
+
+def test_edge_rows(spark):
+    big = "<article>" + "<p>para graph</p>" * 50_000 + "</article>"
+    rows = [(1, "u", None), (None, None, "<article>x</article>"), (2, "u", ""), (3, "u", big), (3, "u", big)]
+    df = with_clashes(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING"))
+    got = html_text.extract(df).collect()
+    assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [
+        ("1", 0), ("2", 0), ("3", 599_998), ("3", 599_998), ("None", 1)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_given_pages_equal_brute_force(spark):
+    def brute(page):
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split())
+                  for b in re.split(r"</?p>|</?h1>", inner))
+        return "\n\n".join(b for b in blocks if b)
+
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=("url", "html")).collect():
+        assert r["text"] == brute(r["html"]) and r["n_chars"] == len(r["text"])

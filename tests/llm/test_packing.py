@@ -1,0 +1,89 @@
+"""Packing: capacities, gapless offsets, exact tokens, near-optimal bins."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from shopmetrics.llm import packing
+from tests.llm.data import DOCUMENTS, edge_rows, with_clashes
+
+MODEL = public_tokenizers.path("word_bpe_49k.json")
+LIB = Tokenizer.from_file(MODEL)
+LIB.encode_special_tokens = True
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=" \n\t\u00a0\u0301\u0130Σσ'sST.A1\x1c\x85", max_size=40)))
+def test_word_tokenizer_equals_the_library(text):
+    text = text.encode("utf-8", "ignore").decode()
+    got = np.frombuffer(packing.tokenizer(MODEL).encode(text), "<u4").tolist()
+    assert got == LIB.encode(text, add_special_tokens=False).ids
+
+
+def check(lengths, capacity, sequence, offset):
+    by = {}
+    for n, s, o in zip(lengths, sequence, offset):
+        by.setdefault(int(s), []).append((int(o), int(n)))
+    for pieces in by.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= capacity.tokens and len(pieces) <= capacity.documents
+        assert sum(n * n for _, n in pieces) <= capacity.attention
+    return len(by)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 99), max_size=120), st.integers(1, 6), st.sampled_from(["norm", "dot"]),
+       st.integers(10_000, 20_000))
+def test_every_capacity_holds(lengths, documents, score, attention):
+    capacity = packing.Capacity(100, documents, attention, (1.0, 0.5, 0.5), score)
+    lengths = np.array(lengths, dtype=np.int64)
+    sequence, offset = packing.best_fit(lengths, capacity)
+    bins = check(lengths, capacity, sequence, offset) if len(lengths) else 0
+    assert bins <= len(lengths)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_few_sequences(score):
+    lengths = np.random.default_rng(5).integers(1, 2048, 4000)
+    capacity = packing.Capacity(score=score)
+    sequence, offset = packing.best_fit(lengths, capacity)
+    bins = check(lengths, capacity, sequence, offset)
+    assert bins <= 1.01 * -(-int(lengths.sum()) // 2048)
+
+
+def test_documents(spark):
+    rows = edge_rows()
+    df = with_clashes(spark.createDataFrame(rows, DOCUMENTS))
+    got = packing.pack_documents(df, MODEL, with_ids=True).collect()
+    check([r["length"] for r in got], packing.Capacity(), [r["sequence_id"] for r in got], [r["offset"] for r in got])
+    tokens = {i: LIB.encode(t or "", add_special_tokens=False).ids + [0] for i, t, *_ in rows}
+    pieces = sorted((str(r["doc_id"]), r["start"]) for r in got)
+    want = sorted((str(i), s) for i, *_ in rows for s in range(0, len(tokens[i]), 2048))
+    assert pieces == want
+    for r in got:
+        ids = tokens[r["doc_id"]][r["start"]: r["start"] + 2048]
+        assert r["ids"] == ids and r["length"] == len(ids) and r["piece"] == r["start"] // 2048
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert packing.pack_documents(df.limit(0), MODEL).count() == 0
+
+
+def test_groups_and_sequences(spark):
+    df = spark.createDataFrame([(7, "same words here") for _ in range(300)] + [(8, "x " * 5000)],
+                               "doc_id BIGINT, text STRING")
+    packed = packing.pack_documents(df, MODEL, packing.Capacity(tokens=64, attention=64 * 64), with_ids=True, group_rows=50)
+    got = packed.collect()
+    check([r["length"] for r in got], packing.Capacity(64, 2048, 64 * 64), [r["sequence_id"] for r in got],
+          [r["offset"] for r in got])
+    whole = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in got)
+    assert all(len(r["ids"]) <= 64 for r in whole)
+    with pytest.raises(ValueError):
+        packing.pack(packed, packing.Capacity(attention=10))

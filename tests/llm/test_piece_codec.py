@@ -1,0 +1,60 @@
+"""SentencePiece encoding and decoding against the library."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from shopmetrics.llm import piece_codec
+from tests.llm.data import DOCUMENTS, edge_rows, with_clashes
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+C = piece_codec.codec(MODEL)
+
+
+def library(text):
+    return C.lib.encode(text, add_bos=True, add_eos=True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=" ▁ab\n\ttheTHE<0x41>s/.é漢", max_size=60),
+                 st.lists(st.sampled_from(sorted(C.id_of)), max_size=6).map("".join)))
+def test_encoding_equals_the_library(text):
+    text = text.encode("utf-8", "ignore").decode()
+    raw = C.encode(text)
+    assert np.frombuffer(raw, "<u4").tolist() == library(text)
+    assert C.decode(raw) == C.lib.decode(library(text))
+
+
+def test_backtracking_equals_merging():
+    for word in ("▁unbelievable", "▁▁▁▁▁▁▁▁▁▁▁x", "▁aaaaaaaaaaaaaaa", "▁thththththeing", "▁internationalisation"):
+        assert C.tokens(word) == C.merged(word)
+
+
+def test_bounded_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr(piece_codec, "KEPT_CHUNKS", 3)
+    small = piece_codec.PieceCodec(MODEL)
+    text = " ".join(f"word{i % 7}" for i in range(50))
+    assert small.encode(text) == C.encode(text) and len(small.kept) <= 3
+
+
+def test_digests_of_edge_rows(spark):
+    df = with_clashes(spark.createDataFrame(edge_rows(), DOCUMENTS))
+    got = piece_codec.encode_digests(df, MODEL).collect()
+    assert len(got) == len(edge_rows())
+    want = sorted((str(i), len(ids := library(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                   hashlib.sha256(C.lib.decode(ids).encode()).hexdigest()) for i, t, *_ in edge_rows())
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
+    assert piece_codec.encode_digests(df.limit(0), MODEL).count() == 0
+    full = piece_codec.encode_texts(df, MODEL).where("doc_id = 5").first()
+    assert full["ids"] == library("a b") and full["decoded"] == "a b"
+
+
+def test_other_models_are_refused(tmp_path):
+    bad = tmp_path / "bad.model"
+    bad.write_bytes(b"not a model")
+    with pytest.raises(Exception):
+        piece_codec.PieceCodec(str(bad))

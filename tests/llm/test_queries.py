@@ -1,0 +1,121 @@
+"""The registered queries over whole tables, and the pipeline against its stages by brute force."""
+
+import os
+import shutil
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from shopmetrics.llm import quality, queries, toxicity
+from tests.llm.test_links import brute_texts, brute_vectors
+from tests.llm.test_packing import check
+from tests.oracle_compare import compare, duck
+
+SF = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+TABLE = {1: "documents", 2: "documents", 3: "pages", 4: "documents", 5: "documents", 6: "embeddings", 8: "pages",
+         9: "documents"}
+
+
+def test_one_query_per_operator():
+    names = list(queries.QUERIES)
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert set(names) | {"pipeline"} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_oracle(spark, name):
+    assert not compare(spark, SF, name, queries.QUERIES[name], queries.ORACLE_SQL[name], duck(SF))
+
+
+@pytest.mark.parametrize("k", sorted(TABLE))
+def test_a_row_for_every_row(spark, k):
+    name = next(n for n in queries.QUERIES if n.startswith(f"op{k}_"))
+    key = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}[TABLE[k]]
+    got = queries.QUERIES[name](spark, SF)
+    given = spark.read.parquet(f"{SF}/{TABLE[k]}.parquet")
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in given.select(key).collect())
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    degree, label = brute_texts(rows)
+    got = queries.op1_ngram_jaccard_join(spark, SF).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (degree[i], label[i]) for i in degree}
+
+
+def _small_tables(spark, tmp_path, rows):
+    """The given labels and a documents table with hand-made rows beside the given ones."""
+    base = str(tmp_path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame(rows, docs.schema)
+    docs.unionByName(more).withColumn("kept", F.lit("clash")).write.parquet(f"{base}/documents.parquet")
+    shutil.copyfile(f"{SF}/labels.parquet", f"{base}/labels.parquet")
+    return base
+
+
+def test_pipeline_stages(spark, tmp_path):
+    text = " ".join(f"Anord{i} then thing{i}, the on{i}." for i in range(30))
+    rows = [(10 ** 6, text, "en", "s", 1), (10 ** 6 + 1, text + " more", "en", "s", 1),
+            (10 ** 6 + 2, text, "en", "s", 1), (10 ** 6 + 3, None, None, None, None), (10 ** 6 + 4, "short", "en", "s", 5),
+            (10 ** 6, text, "en", "s", 1)]
+    base = _small_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+    one = corpus_pipeline.quality_rules(spark, docs, base).cache()
+    model = quality.train(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    want = sorted(r["doc_id"] for r in docs.collect() if quality.judge(r["text"] or "", model)[-1])
+    assert sorted(r["doc_id"] for r in one.collect()) == want and one.columns == docs.columns
+
+    two = corpus_pipeline.toxicity_filter(spark, one, base).cache()
+    scorer = toxicity.train(docs, spark.read.parquet(f"{base}/labels.parquet").filter(
+        ~corpus_pipeline.held_out(4, 2)))
+    want = sorted(r["doc_id"] for r in one.collect() if scorer.score(r["text"]) < 0.3)
+    assert sorted(r["doc_id"] for r in two.collect()) == want and two.columns == docs.columns
+
+    three = corpus_pipeline.near_duplicates(spark, two, base).cache()
+    _, label = brute_texts([(r["doc_id"], r["text"]) for r in two.collect()])
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted(set(label.values()))
+    assert three.columns == docs.columns
+
+    got = corpus_pipeline.best_fit_packing(spark, three, base).collect()
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = {r["doc_id"]: len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for r in three.collect()}
+    assert sum(r["length"] for r in got) == sum(tokens.values())
+    bins = check([r["length"] for r in got], corpus_pipeline.packing.Capacity(), [r["sequence_id"] for r in got],
+                 [r["offset"] for r in got])
+    assert bins <= 1.05 * -(-sum(tokens.values()) // 2048)
+
+    whole = corpus_pipeline.run(spark, base).collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in whole) == sorted((r["doc_id"], r["piece"]) for r in got)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    base = str(tmp_path)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{base}/{name}.parquet")
+    assert corpus_pipeline.run(spark, base).count() == 0
+    for name, query in queries.QUERIES.items():
+        if name in ("op1_ngram_jaccard_join", "op2_sentencepiece", "op4_language_id", "op5_toxicity",
+                    "op9_quality_rules", "op10_best_fit_packing"):
+            assert query(spark, base).count() == 0, name
+
+
+def test_documents_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(None, "a b c", "en", "s", 1), (None, "a b c", "en", "s", 1), (2, "x", "en", "s", 1)],
+                                 "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 3
+
+
+def test_embedding_query_equals_brute_force(spark):
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    degree, label = brute_vectors(rows)
+    got = queries.op6_embedding_near_dedup(spark, SF).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (degree[i], label[i]) for i in degree}
+    assert np.all([r["kept"] == (r["vec_id"] == r["component_id"]) for r in got])
