@@ -138,8 +138,8 @@ def funnel_long(events: DataFrame, unit: str | Sequence[str] = "user_id", stages
 
 
 def long_rows(counts: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
-              labels: Sequence[str] | None = None) -> DataFrame:
-    """The rows of O02 from one row of counts ``n0, n1, ...``."""
+              labels: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of O02 from one row of counts ``n0, n1, ...``, with the columns in ``keep`` beside them."""
     stages = list(stages)
     labels = list(labels) if labels is not None else stages
     if len(labels) != len(stages):
@@ -150,12 +150,12 @@ def long_rows(counts: DataFrame, stages: Sequence[str] = DEFAULT_STAGES,
                 else f"round((1.0D - CAST(n{i} AS DOUBLE) / nullif(CAST(n{i - 1} AS DOUBLE), 0.0D)) * 100.0D, 1)")
         rows.append(f"named_struct('stage_no', {i + 1}, 'stage', {lit(label)}, 'users', n{i}, "
                     f"'conversion_from_top_pct', {pct_sql(f'n{i}', 'n0', 1)}, 'drop_off_pct', {drop})")
-    return counts.selectExpr(f"inline(array({', '.join(rows)}))")
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))", *[ident(c) for c in keep])
 
 
-def overall_from(counts: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """One row of counts from :func:`stage_counts` by a property each unit has once."""
-    return counts.agg(*[F.expr(f"CAST(coalesce(sum(n{i}), 0) AS BIGINT)").alias(f"n{i}") for i in range(len(stages))])
+def stage_totals(stages: Sequence[str]) -> list[Column]:
+    """Overall counts ``n0, n1, ...`` from :func:`stage_counts` by a property each unit has once."""
+    return [F.expr(f"CAST(coalesce(sum(n{i}), 0) AS BIGINT)").alias(f"n{i}") for i in range(len(stages))]
 
 
 def funnel_by(events: DataFrame, dim: str | Sequence[str] = "traffic_source", unit: str | Sequence[str] = "user_id",

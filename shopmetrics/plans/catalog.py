@@ -135,11 +135,10 @@ def q_spend_segments(spark, d):
 
 def q_kpi_summary(spark, d):
     # A session has one user and a user one source, so the overall funnel is the
-    # sum of the per-source one: both come from the same aggregate.
+    # sum of the per-source one: both come from one pass over the events.
     counts = funnel.stage_counts(td.events(spark, d), ["traffic_source"], SESSION, S, **_source_lookup(spark, d))
     return summary.kpi_summary(
-        funnel=funnel.long_rows(funnel.overall_from(counts, S), S),
-        sources=funnel.compact_rows(counts, "traffic_source", S),
+        funnel=summary.funnel_and_sources(counts, S), sources=None,
         matrix=q_cohort_matrix(spark, d),
         segments=q_spend_segments(spark, d),
         orders=td.valid_orders(spark, d),

@@ -194,5 +194,5 @@ def test_overall_rows_from_per_source_counts(spark):
                         (2, 2, "cart", "2024-01-01 00:00:00", "m", "S"),
                         (3, 3, "home", "2024-01-01 00:00:00", "m", None)])
     counts = funnel.stage_counts(ev, ["traffic_source"], "user_id", funnel.DEFAULT_STAGES)
-    got = funnel.long_rows(funnel.overall_from(counts, funnel.DEFAULT_STAGES)).collect()
+    got = funnel.long_rows(counts.agg(*funnel.stage_totals(funnel.DEFAULT_STAGES))).collect()
     assert got == funnel.funnel_long(ev).collect()

@@ -44,6 +44,17 @@ def test_kpi_summary(spark):
     assert (k["valid_orders"], k["valid_revenue"]) == (4, 560.0)
 
 
+def test_kpi_from_one_pass_over_counts(spark):
+    ev, od = _inputs(spark)
+    rest = (cohort.cohort_matrix(cohort.cohort_retention(od), min_months=3), segments.spend_segments(od), od)
+    want = summary.kpi_summary(funnel.funnel_long(ev), funnel.funnel_by_compact(ev, "traffic_source"), *rest).first()
+    counts = funnel.stage_counts(ev, ["traffic_source"], "user_id", funnel.DEFAULT_STAGES)
+    one = summary.kpi_summary(summary.funnel_and_sources(counts, funnel.DEFAULT_STAGES), None, *rest).first()
+    assert one.asDict() == want.asDict()
+    empty = summary.funnel_and_sources(counts.limit(0), funnel.DEFAULT_STAGES).first()
+    assert empty["best_source"] is None and empty["overall_conversion_pct"] is None
+
+
 def test_kpi_top_tier_absent_is_zero(spark):
     ev, od = _inputs(spark)
     small = od.where("total_sale_price < 100")
