@@ -148,7 +148,7 @@ def read_records(records: DataFrame, json_col: str, keep: tuple[str, ...]) -> Da
 
 def unknown_layouts(turns: DataFrame) -> DataFrame:
     """How many records no layout was found for."""
-    return turns.agg(F.count_if("part < 0").alias("unknown"))
+    return turns.agg(F.count_if(F.col("part") < 0).alias("unknown"))
 
 
 # -- template ---------------------------------------------------------------------------------
