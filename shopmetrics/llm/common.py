@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,3 +70,28 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; nulls become empty texts."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def fit_in_task(sample: DataFrame, rows: int, fit: Callable[[pa.Table | None], object]) -> object:
+    """Fit a model on at most ``rows`` rows of a sample, in one task of an executor.
+
+    The driver sees the model alone. The bound keeps the task's memory the same
+    however large the input is; an empty sample is fitted as None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(found)))])], ["model"])
+
+    got = sample.limit(rows).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else fit(None)
+
+
+def arrays(column: pa.ChunkedArray, kind: str) -> list:
+    """The rows of a list column as numpy arrays, without a Python object per element."""
+    out = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b].astype(kind) for a, b in zip(offsets[:-1], offsets[1:])]
+    return out

@@ -15,6 +15,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bounds:
 
     Ids are chosen by their hash, one row per id. The chosen ids are bounded by
     a parameter, so they are broadcast; only their rows leave the text scan.
+    Where ids repeat among the documents, all rows of a chosen id come: the fit
+    takes no more of them than its own bound.
     """
     one = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label"))
     chosen = None
@@ -22,5 +24,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bounds:
         part = one.filter(F.col("label") == kind).orderBy(F.xxhash64(id_col), id_col).limit(bound)
         chosen = part if chosen is None else chosen.unionByName(part)
     return (documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
-            .select(F.col("label").cast("int").alias("label"), F.col(text_col).alias("text"))
-            .limit(2 * sum(bounds.values())))  # bounds the sample where ids repeat among the documents
+            .select(F.col("label").cast("int").alias("label"), F.col(text_col).alias("text")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import arrays, fit_in_task, map_batches, texts
 from .folds import labelled_sample
 from .linear import FtrlSoftmax, code_points, ngram_counts, platt, sparse, unit
 
@@ -100,7 +100,31 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, epochs: int = 3) -> QualityModel | None:
+def fit(sample: pa.Table | None, epochs: int = 3) -> QualityModel | None:
+    """A model from rows ``(label, at, x)``; None without rows of both kinds."""
+    if sample is None:
+        return None
+    data = sorted(zip(arrays(sample.column("at"), "i4"), arrays(sample.column("x"), "f4"),
+                      sample.column("label").to_pylist()),
+                  key=lambda d: (d[2], len(d[0]), d[0].tobytes(), d[1].tobytes()))
+    kinds = np.array([d[2] for d in data])
+    if len(set(kinds.tolist())) < 2:
+        return None
+    order = np.random.default_rng(11).permutation(len(data))
+    held, learned = order[: len(data) // 5], order[len(data) // 5:]
+    if len(set(kinds[learned].tolist())) < 2:
+        held, learned = order[:0], order
+    model = FtrlSoftmax((1 << WORD_BITS) + (1 << CHAR_BITS), 2)
+    for _ in range(epochs):
+        for k in learned:
+            model.learn(*data[k])
+    w = model.weights()
+    weights, bias = w[:, 1] - w[:, 0], float(model.bias[1] - model.bias[0])
+    slope, offset = platt(np.array([data[k][1] @ weights[data[k][0]] + bias for k in held]), kinds[held])
+    return QualityModel(weights.astype(np.float32), bias, slope, offset)
+
+
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> QualityModel | None:
     """Fit on at most ``max_rows`` labelled texts of each kind: ``documents(doc_id, text)``, ``labels(doc_id, quality)``.
 
     Rows that fail the base rules are not learned from: the model never sees their like.
@@ -119,26 +143,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, epochs:
         return out
 
     sample = labelled_sample(documents, labels, "quality", {0: max_rows, 1: max_rows})
-    found = map_batches(sample, run, "label int, at array<int>, x array<float>").toPandas()
-    data = sorted(((np.asarray(a), np.asarray(x, dtype=np.float64), int(k))
-                   for k, a, x in zip(found["label"], found["at"], found["x"])),
-                  key=lambda d: (d[2], len(d[0]), d[0].tobytes(), d[1].tobytes()))
-    kinds = np.array([d[2] for d in data])
-    if len(set(kinds.tolist())) < 2:
-        return None
-    order = np.random.default_rng(11).permutation(len(data))
-    held, learned = order[: len(data) // 5], order[len(data) // 5:]
-    rare = min((kinds[learned] == 0).sum(), (kinds[learned] == 1).sum())
-    if not rare:
-        held, learned = order[:0], order
-    model = FtrlSoftmax((1 << WORD_BITS) + (1 << CHAR_BITS), 2)
-    for _ in range(epochs):
-        for k in learned:
-            model.learn(*data[k])
-    w = model.weights()
-    weights, bias = w[:, 1] - w[:, 0], float(model.bias[1] - model.bias[0])
-    slope, offset = platt(np.array([data[k][1] @ weights[data[k][0]] + bias for k in held]), kinds[held])
-    return QualityModel(weights.astype(np.float32), bias, slope, offset)
+    found = map_batches(sample, run, "label int, at array<int>, x array<float>")
+    return fit_in_task(found, 2 * max_rows, fit)
 
 
 def judge(text: str, model: QualityModel | None, keep_from: float = KEEP_FROM) -> tuple:
