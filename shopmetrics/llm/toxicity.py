@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import fit_in_task, map_batches, texts
 from .folds import labelled_sample
 from .linear import platt
 
@@ -82,16 +82,18 @@ def marked_parts(word: str, marked: set[str]) -> list[str]:
 
 
 def without_near_copies(rows: list[list[str]]) -> list[list[str]]:
-    """One of each group of near-equal window sets (at least 5 of 6 min-hashes seen before),
-    so that words of a copied text do not pass for words of toxic text."""
-    seen: set[tuple[int, int]] = set()
-    out = []
+    """One of each group of near-equal window sets (at least 5 of 6 min-hashes shared with one
+    taken before), so that words of a copied text do not pass for words of toxic text."""
+    holders: dict[tuple[int, int], list[int]] = {}
+    out: list[list[str]] = []
     for words in rows:
         raw = [w.encode("utf-8", "replace") for w in words]
         keys = [(k, min((zlib.crc32(w, 7919 * k) for w in raw), default=0)) for k in range(6)]
-        if sum(k in seen for k in keys) < 5:
+        shared = Counter(n for k in keys for n in holders.get(k, ()))
+        if max(shared.values(), default=0) < 5:
+            for k in keys:
+                holders.setdefault(k, []).append(len(out))
             out.append(words)
-        seen.update(keys)
     return out
 
 
@@ -148,20 +150,12 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(s, -40, 40))))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> ToxicityModel | None:
-    """Fit on at most ``max_rows`` toxic and twice as many other labelled texts.
-
-    ``documents(doc_id, text)``, ``labels(doc_id, toxic)``: all labels given may be learned from.
-    """
-
-    def run(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"label": batch.column(0), "words": [sorted(windows(t)) for t in texts(batch.column(1))]}
-
-    sample = labelled_sample(documents, labels, "toxic", {0: 2 * max_rows, 1: max_rows})
-    found = map_batches(sample, run, "label int, words array<string>").toPandas()
+def fit(sample: pa.Table | None) -> ToxicityModel | None:
+    """A model from rows ``(label, words)``; None without rows of both kinds."""
     rows: dict[int, list[list[str]]] = {0: [], 1: []}
-    for label, words in sorted(zip(found["label"], map(list, found["words"]))):
-        rows[int(label)].append(words)
+    if sample is not None:
+        for label, words in sorted(zip(sample.column("label").to_pylist(), sample.column("words").to_pylist())):
+            rows[label].append(words)
     if not rows[0] or not rows[1]:
         return None
     rng = np.random.default_rng(5)
@@ -204,6 +198,19 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Toxi
     return model
 
 
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 1500) -> ToxicityModel | None:
+    """Fit on at most ``max_rows`` toxic and twice as many other labelled texts.
+
+    ``documents(doc_id, text)``, ``labels(doc_id, toxic)``: all labels given may be learned from.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"label": batch.column(0), "words": [sorted(windows(t)) for t in texts(batch.column(1))]}
+
+    sample = labelled_sample(documents, labels, "toxic", {0: 2 * max_rows, 1: max_rows})
+    return fit_in_task(map_batches(sample, run, "label int, words array<string>"), 3 * max_rows, fit)
+
+
 def score_texts(rows: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> DataFrame:
     """``(id, score, predicted)`` of every row, from its text alone."""
