@@ -80,7 +80,7 @@ def map_groups(rows: DataFrame, fn: Callable[[pa.Table], dict[str, object] | Non
             finish()
         yield from done
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
 
 
 def task_pairs(group: pa.Table) -> np.ndarray:
@@ -107,7 +107,11 @@ def roots(linked: np.ndarray) -> np.ndarray:
 
 
 def star_rows(group: pa.Table, linked: np.ndarray, weights: np.ndarray | None = None) -> dict[str, object] | None:
-    """``node``, ``links`` (weight of its linked rows) and ``root`` for every row with a link."""
+    """``node``, ``links`` (weight of its linked rows) and ``root`` for every row with a link.
+
+    Rows come sorted by node, so a root is its component's smallest node: tasks
+    that see parts of the same component mostly name the same root.
+    """
     at = np.flatnonzero(linked.any(axis=1))
     if not len(at):
         return None
