@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import importable, map_batches
 
 ASSISTANT = "assistant"
 START, ROLE_END, END = "### ", ": ", " </turn>\n"
@@ -254,6 +254,7 @@ def conversation_digests(formatted: DataFrame, conv_col: str, order: tuple[str,
                                                                    *[c for c in order if c != conv_col], "formatted"))
     schema = (f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
               "formatted_chars long")
+    importable(formatted.sparkSession)
     return dealt.select(conv_col, "_known", "formatted", "loss_from", "loss_to").mapInPandas(run, schema)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 import uuid
@@ -49,6 +50,26 @@ def unique_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    Its folder joins the workers' ``PYTHONPATH``; on a cluster the package is
+    installed on every node, or lies in a folder all nodes see.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+              ) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    importable(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str,
                 ) -> DataFrame:
     """``mapInArrow`` for functions from one Arrow batch to columns by name."""
@@ -64,7 +85,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -84,7 +105,7 @@ def fit_in_task(sample: DataFrame, rows: int, fit: Callable[[pa.Table | None], o
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(found)))])], ["model"])
 
-    got = sample.limit(rows).coalesce(1).mapInArrow(run, "model binary").collect()
+    got = map_arrow(sample.limit(rows).coalesce(1), run, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else fit(None)
 
 

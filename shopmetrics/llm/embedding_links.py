@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_arrow, map_batches, written
 from .linking import STAR, classes, in_blocks, link_clusters, map_groups, star_rows, task_pairs
 
 COSINE = 0.95
@@ -170,7 +170,7 @@ def embedding_links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
                         [part.column(0).take(row), short, pa.array(np.array(bucket, dtype=np.uint64).view(np.int64))],
                         ["node", "short", "bucket"])
 
-    spread = nodes.select("node", "unit").mapInArrow(ranges, "node binary, short binary, bucket long")
+    spread = map_arrow(nodes.select("node", "unit"), ranges, "node binary, short binary, bucket long")
     sizes = spread.select("bucket").groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     met = spread.join(sizes, "bucket")
 

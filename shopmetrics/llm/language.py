@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrays, fit_in_task, map_batches
+from .common import arrays, fit_in_task, map_arrow, map_batches
 from .linear import FtrlSoftmax, code_points, letter_table, ngram_counts, softmax, sparse, temperature, unit
 
 BITS = 15
@@ -81,7 +81,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(at, -1).astype("i4")), pa.array(np.append(df[at], n))], ["at", "df"])
 
-    found = rows.select("text").mapInArrow(run, "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
+    found = map_arrow(rows.select("text"), run, "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
     out, n = np.zeros(size), 0
     for r in found.collect():  # at most one row per feature
         if r["at"] < 0:
@@ -143,105 +143,6 @@ def train(rows: DataFrame, rows_per_language: int = 600, max_languages: int = 64
     return fit_in_task(found, rows_per_language * len(languages), fit)
 
 
-def predict(self, text: str | None) -> tuple[str, float]:
-        counts = letter_ngrams(text)
-        if counts is None or not self.languages:
-            return UNDETERMINED, 0.0
-        at, tf = sparse(counts)
-        x = unit(tf * self.idf[at])
-        p = softmax((x @ self.weights[at] + self.bias) / self.temperature)
-        best = int(p.argmax())
-        return self.languages[best], float(min(1.0, p[best]))
-
-
-def letter_ngrams(text: str | None) -> np.ndarray | None:
-    """Hashed n-gram counts, or None if there is no letter."""
-    if not text:
-        return None
-    cp = code_points(text.lower())
-    letters = letter_table()[cp]
-    if not letters.any():
-        return None
-    return ngram_counts(np.where(letters, cp, np.uint32(32)), ORDERS, BITS)
-
-
-def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of rows with a letter, and how many of them hold each feature.
-
-    Every task sums its own rows; only one count per feature and task is shuffled.
-    """
-    size = 1 << BITS
-
-    def run(batches):
-        n, df = 0, np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts = letter_ngrams(text)
-                if counts is not None:
-                    n += 1
-                    df += counts > 0
-        if n:
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1).astype("i4")), pa.array(np.append(df[at], n))], ["at", "df"])
-
-    found = rows.select("text").mapInArrow(run, "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
-    out, n = np.zeros(size), 0
-    for r in found.collect():  # at most one row per feature
-        if r["at"] < 0:
-            n = r["df"]
-        else:
-            out[r["at"]] = r["df"]
-    return n, out
-
-
-def train(rows: DataFrame, rows_per_language: int = 600, max_languages: int = 64, epochs: int = 3,
-          ) -> LanguageModel:
-    """Learn from ``rows`` (doc_id, text, lang), all of which may be learned from."""
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not top:
-        return LanguageModel([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    languages = sorted(r["lang"] for r in top)
-    n, df = _document_frequencies(rows)
-    idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-
-    # a hash of the id thins each language to about twice the bound, a rank then holds the bound
-    keep = F.lit(0.0)
-    for r in top:
-        keep = F.when(F.col("lang") == r["lang"], F.lit(2.0 * rows_per_language / r["count"])).otherwise(keep)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
-    sample = (rows.withColumn("_draw", draw).filter(F.col("_draw") < keep)
-              .withColumn("_rank", rank).filter(F.col("_rank") <= rows_per_language))
-
-    def features(batch: pa.RecordBatch) -> dict[str, object]:
-        out: dict[str, list] = {"lang": [], "draw": [], "at": [], "tf": []}
-        for text, lang, draw in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            counts = letter_ngrams(text)
-            if counts is not None:
-                at, tf = sparse(counts)
-                for k, v in zip(out, (lang, draw, at, tf)):
-                    out[k].append(v)
-        return out
-
-    found = map_batches(sample.select("text", "lang", "_draw"), features,
-                        "lang string, draw double, at array<int>, tf array<float>")
-    table = found.toPandas().sort_values(["draw", "lang"], kind="stable")  # bounded by rows_per_language
-    data = [(np.asarray(a), unit(np.asarray(t, dtype=np.float64) * idf[np.asarray(a)]), languages.index(lang))
-            for lang, a, t in zip(table["lang"], table["at"], table["tf"])]
-    order = np.random.default_rng(7).permutation(len(data))
-    held, learned = order[: len(data) // 5], order[len(data) // 5:]
-    model = FtrlSoftmax(1 << BITS, len(languages))
-    for _ in range(epochs):
-        for k in learned:
-            model.learn(*data[k])
-    weights, bias = model.weights(), model.bias
-    logits = np.array([data[k][1] @ weights[data[k][0]] + bias for k in held]).reshape(len(held), len(languages))
-    return LanguageModel(languages, idf.astype(np.float32), weights.astype(np.float32), bias,
-                         temperature(logits, np.array([data[k][2] for k in held], dtype=int)))
-
-
 def predict(rows: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
             ) -> DataFrame:
     """``(id, lang_pred, score)`` of every row, from its text alone."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import map_arrow, written
 
 BLOCK = 1000
 
@@ -80,7 +80,7 @@ def map_groups(rows: DataFrame, fn: Callable[[pa.Table], dict[str, object] | Non
             finish()
         yield from done
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys, "node"), run, schema)
 
 
 def task_pairs(group: pa.Table) -> np.ndarray:

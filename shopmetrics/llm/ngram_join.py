@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts, written
+from .common import map_arrow, map_batches, texts, written
 from .linking import STAR, classes, in_blocks, link_clusters, map_groups, star_rows, task_pairs
 
 N = 5
@@ -163,7 +163,7 @@ def candidates(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
                      pa.array(np.full(len(row), np.iinfo(np.int64).max))], ["node", "path", "parent"])
 
     schema = "node binary, path long, parent long"
-    level = nodes.select("node", "tokens").mapInArrow(lambda b: descend(b, True), schema)
+    level = map_arrow(nodes.select("node", "tokens"), lambda b: descend(b, True), schema)
     leaves: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
@@ -174,7 +174,7 @@ def candidates(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
         if depth == DEPTH or rest.isEmpty():
             break
         split = rest.join(nodes.select("node", "tokens"), "node").select("node", "tokens", "path", "size")
-        level = written(split.mapInArrow(lambda b: descend(b, False), schema), f"ngram-split{depth}")
+        level = written(map_arrow(split, lambda b: descend(b, False), schema), f"ngram-split{depth}")
     met = leaves[0]
     for more in leaves[1:]:
         met = met.union(more)

@@ -20,7 +20,6 @@ whole. Repeated rows are packed each. An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts, written
+from .common import importable, map_batches, texts, written
 
 END_ID = 0
 KEPT_WORDS = 600_000  # in each of two generations, per Python worker
@@ -186,6 +185,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_rows: int = 2
         sequence, offset = best_fit(frame["length"].to_numpy(), capacity)
         return frame[columns].assign(sequence_id=group * (1 << 32) + sequence, offset=offset)
 
+    importable(pieces.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     packed = (rest.withColumn("_group", F.pmod(F.xxhash64(place), F.lit(groups)))
               .groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long"))

@@ -32,10 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fit_in_task, map_batches, texts
+from .common import fit_in_task, importable, map_batches, texts
 from .folds import labelled_sample
 from .linear import platt
 
@@ -226,6 +226,8 @@ def score_texts(rows: DataFrame, model: ToxicityModel | None, id_col: str = "doc
 def verdict(model: ToxicityModel | None, threshold: float = THRESHOLD):
     """A column function ``text -> toxic`` for filters that pass all other columns on."""
 
+    importable(SparkSession.active())
+
     @F.pandas_udf("boolean")
     def toxic(column: pd.Series) -> pd.Series:
         return pd.Series([model is not None and model.score(t if isinstance(t, str) else "") >= threshold

@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import map_arrow, scratch_path, written
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
@@ -177,8 +177,8 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["path", "records", "bytes"])
 
-    manifest = records.select("page_id", "url", "payload", "refers_to").mapInArrow(
-        run, "path string, records long, bytes long")
+    manifest = map_arrow(records.select("page_id", "url", "payload", "refers_to"), run,
+                         "path string, records long, bytes long")
     return written(manifest, "warc-manifest")
 
 
@@ -214,7 +214,7 @@ def read_archives(manifest: DataFrame, folder: str, id_type: str = "long", with_
     dealt = manifest.select("path", "records").repartitionByRange(files, "path")
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, " \
              "refers_to string" + (", payload binary" if with_payload else "")
-    read = dealt.mapInArrow(scan, schema)
+    read = map_arrow(dealt, scan, schema)
     return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

@@ -2,6 +2,8 @@
 
 import os
 import shutil
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -119,3 +121,14 @@ def test_embedding_query_equals_brute_force(spark):
     got = queries.op6_embedding_near_dedup(spark, SF).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (degree[i], label[i]) for i in degree}
     assert np.all([r["kept"] == (r["vec_id"] == r["component_id"]) for r in got])
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nimport __spark_entry__ as e\n"
+            "from shopmetrics.session import local_session\ns = local_session(cores=2)\n"
+            "for n in ('op3_html_extraction', 'op7_chat_formatting', 'op10_best_fit_packing', 'pipeline'):\n"
+            f"    assert e.queries()[n](s, {SF!r}).count() > 0\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300, capture_output=True)
+    assert done.returncode == 0, done.stderr[-2000:]
