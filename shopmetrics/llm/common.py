@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_AT_ONCE = 1000  # rows of a batch that are Python objects at one time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table; read through Spark, so any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,8 +82,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 out = fn(batch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow)

@@ -45,7 +45,7 @@ RECALL = 0.999
 SMALL = 100
 SHRINKS_TO = 0.7
 BROADCAST_ROWS = 200_000  # members joined map-side, about 8 MB; more are joined by shuffle
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 _SEEDS = np.random.default_rng(2024).integers(1, 2 ** 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_SEEDS = np.random.default_rng(77).integers(1, 2 ** 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

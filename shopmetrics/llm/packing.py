@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import importable, map_batches, texts, written
 
 END_ID = 0
-KEPT_WORDS = 600_000  # in each of two generations, per Python worker
+KEPT_WORDS = 200_000  # in each of two generations, per Python worker
 
 
 @dataclass(frozen=True)

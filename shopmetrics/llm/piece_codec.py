@@ -34,7 +34,7 @@ from .common import map_batches, texts
 
 MARK = "▁"  # what a space becomes
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
-KEPT_CHUNKS = 800_000  # per Python worker; emptied when full
+KEPT_CHUNKS = 600_000  # per Python worker; emptied when full
 
 
 class PieceCodec:

@@ -9,11 +9,12 @@ A window is one word (a longer run of letters is cut into overlapping windows).
 It is written ``REPEATS`` times, so that a frame is long enough to be coded
 rather than stored; the repeats cost the same under either dictionary. The
 length of the window, its length under the toxic dictionary and the difference
-of the two compressed lengths make a cell. From labelled rows come the share of ordinary windows in each cell and the number
-of extra windows a toxic row has there. A text's evidence is the Poisson
-log-likelihood ratio of its cell counts (so one borderline window counts less
-in a long text), and a logistic curve through held-back rows turns it into the
-score. Scores are compared with a fixed threshold.
+of the two compressed lengths make a cell. From labelled rows come the share of
+ordinary windows in each cell and the number of extra windows a toxic row has
+there. A text's evidence is the Poisson log-likelihood ratio of its cell counts
+(so one borderline window counts less in a long text), and a logistic curve
+through held-back rows turns it into the score. Scores are compared with a
+fixed threshold.
 
 Fitted on at most ``max_rows`` labelled rows of each kind, chosen by a hash of
 the id. Without labelled rows of both kinds every score is 0. A null text is an
@@ -50,7 +51,7 @@ THRESHOLD = 0.3
 # cells: window bytes, bytes under the toxic dictionary, difference to the ordinary one, each clipped
 CELLS = ((2, 16), (12, 27), (-7, 3))
 N_CELLS = 15 * 16 * 11
-KEPT_WINDOWS = 600_000  # per Python worker; emptied when full
+KEPT_WINDOWS = 250_000  # per Python worker; emptied when full
 
 
 def windows(text: str) -> set[str]:
