@@ -164,8 +164,8 @@ def embedding_links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
                     cell[:, :, 0] = np.arange(groups)
                     bucket = [xxhash.xxh3_64_intdigest(c) for c in cell.reshape(-1, keys + 2)]
                     row = pa.array(np.repeat(rows, groups))
-                    short = pa.array([v.tobytes() for v in x.astype("<f4")]).take(pa.array(np.repeat(np.arange(len(rows)),
-                                                                                                  groups)))
+                    each = pa.array(np.repeat(np.arange(len(rows)), groups))
+                    short = pa.array([v.tobytes() for v in x.astype("<f4")]).take(each)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(row), short, pa.array(np.array(bucket, dtype=np.uint64).view(np.int64))],
                         ["node", "short", "bucket"])

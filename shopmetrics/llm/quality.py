@@ -125,9 +125,10 @@ def fit(sample: pa.Table | None, epochs: int = 3) -> QualityModel | None:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> QualityModel | None:
-    """Fit on at most ``max_rows`` labelled texts of each kind: ``documents(doc_id, text)``, ``labels(doc_id, quality)``.
+    """Fit on at most ``max_rows`` labelled texts of each kind.
 
-    Rows that fail the base rules are not learned from: the model never sees their like.
+    ``documents(doc_id, text)``, ``labels(doc_id, quality)``. Rows that fail
+    the base rules are not learned from: the model never sees their like.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:

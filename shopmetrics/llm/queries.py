@@ -6,7 +6,6 @@ query is called; results are lazy beyond that.
 
 from __future__ import annotations
 
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +123,8 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 u AS (
   SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
-         15 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<:]', 'xx', 'g')) AS n
+         15 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g'))
+            + length(regexp_replace(text, '[\\#<:]', 'xx', 'g')) AS n
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -51,7 +51,8 @@ def urn(page_id: object) -> str:
 
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object = None) -> bytes:
     """One record: a response with its payload, or a revisit with the response's header alone."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+            f"Content-Length: {len(payload)}\r\n\r\n").encode()
     block = http if refers_to is not None else http + payload
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"),
               ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE)]
