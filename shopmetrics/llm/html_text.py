@@ -31,8 +31,10 @@ from .common import map_batches, texts
 WINDOW = 3
 SURGE = 120
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# comments, declarations, tags (a quote opens a value only after "="), and a tag cut off by the page's end
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
+                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]++|=)*+)>"
+                   r"|</?[a-zA-Z][^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # their content is not markup: it ends at the next end tag of the same name
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg",
@@ -141,11 +143,11 @@ def block_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             break
         add(page[at: m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        attrs = (m[3] if m[2] else m[6]) or ""
-        if m[1] or m[4]:  # an end tag closes the nearest open element of its name
+        attrs = m[3] or ""
+        if m[1]:  # an end tag closes the nearest open element of its name
             if name in BLOCKS:
                 end_line()
             for i in range(len(stack) - 1, -1, -1):

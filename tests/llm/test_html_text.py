@@ -25,6 +25,9 @@ SF = "/root/testdata/sf0.01"
     ("<div class='cookie-notice'>no no no</div><main><p>x</p></main>", "x"),
     ("<article><p hidden>no</p><p style='display: none'>no</p><p>x</p></article>", "x"),
     ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+    ("<article><p title=don't>it's</p><p title='a>b' id = \"c>d\">y</p></article>", "it's\n\ny"),
+    ("<article><p>cut off</p><a href='x", "cut off"),
+    ("<article><p>a <b title=\"open>b</b> c</p></article>", "a b c"),
 ])
 def test_cases(page, text):
     assert html_text.main_text(page) == text
