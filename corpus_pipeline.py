@@ -7,7 +7,6 @@ the labelled rows of the tables in ``sf_dir``, as in the operators' queries.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shopmetrics.llm import ngram_join, packing, quality, toxicity
 from shopmetrics.llm.common import table, written
@@ -18,14 +17,14 @@ from shopmetrics.llm.queries import WORD_MODEL
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model; all columns."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.filter(quality.verdict(model)(F.col("text")))
+    return quality.keep(docs, model)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; all columns."""
     model = toxicity.train(table(spark, sf_dir, "documents"),
                            table(spark, sf_dir, "labels").filter(~held_out(4, 2)))
-    return docs.filter(~toxicity.verdict(model)(F.col("text")))
+    return toxicity.keep(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

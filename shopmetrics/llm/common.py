@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 ROWS_AT_ONCE = 1000  # rows of a batch that are Python objects at one time
@@ -66,8 +67,8 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
-              ) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers can import this package."""
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -77,7 +78,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
                 ) -> DataFrame:
     """``mapInArrow`` for functions from one Arrow batch to columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -92,6 +92,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
     return map_arrow(df, run, schema)
 
 
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[str], bool]) -> DataFrame:
+    """The rows whose text ``keep`` accepts, with all their columns; a null text is an empty one."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                kept = batch.filter(pa.array([keep(t) for t in texts(batch.column(at))], type=pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return map_arrow(df, run, df.schema)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; nulls become empty texts."""
     return ["" if t is None else t for t in column.to_pylist()]

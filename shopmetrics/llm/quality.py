@@ -20,12 +20,10 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .common import arrays, fit_in_task, importable, map_batches, texts
+from .common import arrays, filter_rows, fit_in_task, map_batches, texts
 from .folds import labelled_sample
 from .linear import FtrlSoftmax, code_points, ngram_counts, platt, sparse, unit
 
@@ -175,12 +173,7 @@ def assess(rows: DataFrame, model: QualityModel | None, id_col: str = "doc_id",
                        f"`{id_col}` {kind}, {stats}, base_failed boolean, probability double, kept boolean")
 
 
-def verdict(model: QualityModel | None, keep_from: float = KEEP_FROM):
-    """A column function ``text -> kept`` for filters that pass all other columns on."""
-    importable(SparkSession.active())
-
-    @F.pandas_udf("boolean")
-    def kept(column: pd.Series) -> pd.Series:
-        return pd.Series([judge(t if isinstance(t, str) else "", model, keep_from)[-1] for t in column], dtype=bool)
-
-    return kept
+def keep(rows: DataFrame, model: QualityModel | None, text_col: str = "text", keep_from: float = KEEP_FROM,
+         ) -> DataFrame:
+    """The rows that pass the base rules and the model, with all their columns."""
+    return filter_rows(rows, text_col, lambda text: judge(text, model, keep_from)[-1])

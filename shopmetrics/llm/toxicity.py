@@ -30,13 +30,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .common import fit_in_task, importable, map_batches, texts
+from .common import filter_rows, fit_in_task, map_batches, texts
 from .folds import labelled_sample
 from .linear import platt
 
@@ -224,14 +222,7 @@ def score_texts(rows: DataFrame, model: ToxicityModel | None, id_col: str = "doc
     return map_batches(rows.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, predicted int")
 
 
-def verdict(model: ToxicityModel | None, threshold: float = THRESHOLD):
-    """A column function ``text -> toxic`` for filters that pass all other columns on."""
-
-    importable(SparkSession.active())
-
-    @F.pandas_udf("boolean")
-    def toxic(column: pd.Series) -> pd.Series:
-        return pd.Series([model is not None and model.score(t if isinstance(t, str) else "") >= threshold
-                          for t in column], dtype=bool)
-
-    return toxic
+def keep(rows: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = THRESHOLD,
+         ) -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+    return filter_rows(rows, text_col, lambda text: model is None or model.score(text) < threshold)
