@@ -113,16 +113,19 @@ def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
 def collisions(x: np.ndarray, cosine: float) -> np.ndarray:
     """For every pair of rows, in how many counting projections one lies in the other's window."""
     n, half = len(x), window_for(cosine)
-    projected = x @ directions(x.shape[1], COUNTING, 1)
+    projected = np.ascontiguousarray((x @ directions(x.shape[1], COUNTING, 1)).T)
+    if n <= 48:  # sorting would cost more than it saves
+        return (np.abs(projected[:, :, None] - projected[:, None, :]) <= half).sum(axis=0, dtype=np.uint8)
     count = np.zeros((n, n), dtype=np.uint8)
-    ranks = np.arange(n)
-    for k in range(COUNTING):
-        order = np.argsort(projected[:, k], kind="stable")
-        p = projected[order, k]
-        low, high = np.searchsorted(p, p - half, "left"), np.searchsorted(p, p + half, "right")
-        place = np.empty(n, dtype=np.int64)
-        place[order] = ranks
-        count += (place[None, :] >= low[place][:, None]) & (place[None, :] < high[place][:, None])
+    for p in projected:
+        order = np.argsort(p, kind="stable")
+        line = p[order]
+        low = np.searchsorted(line, line - half, "left").astype(np.uint16)
+        width = np.searchsorted(line, line + half, "right").astype(np.uint16) - low
+        place = np.empty(n, dtype=np.uint16)  # tasks hold two blocks at most
+        place[order] = np.arange(n, dtype=np.uint16)
+        # unsigned: a place before the window's start wraps to a large number
+        count += place[None, :] - low[place][:, None] < width[place][:, None]
     return count
 
 
