@@ -1,4 +1,4 @@
-"""Shared helpers: table access, written intermediate tables, bounded caches."""
+"""Shared helpers: table access, written intermediate tables, Arrow maps, fits in one task."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-
 ROWS_AT_ONCE = 1000  # rows of a batch that are Python objects at one time
 
 
@@ -21,16 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}  # by application, for local sessions without a shared folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in local tests, a temporary folder takes its place.
+    Only where it is unset and the session is local, as in tests, a temporary
+    folder takes its place; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shopmetrics-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="shopmetrics-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -46,14 +54,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unique_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, lengthened until no column has that name (Spark ignores case)."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did.
 
