@@ -5,11 +5,12 @@ of scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts
 and reader comments vanish, and the border of every other container becomes empty
 lines. Text lengths are summed over sliding windows of ``WINDOW`` lines:
 where the sum surges over a threshold a span of main text starts, where it
-dives to zero the span ends, and the lines of the kept spans are the text. A
-page that declares its article (``article``, ``main``) has only its lines
-there, and then any text is a surge; elsewhere a span must hold a window of
-``SURGE`` characters (half the highest window on pages that never reach twice
-that), and a line counts without its link text.
+dives to zero the span ends. A page that declares its article (``article``,
+``main``) has only its lines there, and then any text is a surge: the lines of
+the spans are the text. Elsewhere a span must hold a window of ``SURGE``
+characters (half the highest window on pages that never reach twice that), a
+line counts without its link text, and the spans locate the article: short
+lines of its containers and paragraphs around it are text too (``article``).
 
 Character references are decoded, white space inside a block becomes one
 space, empty blocks vanish, and blocks are joined by one empty line. A null or
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +62,9 @@ COMMENT_WORDS = {"comment", "comments", "disqus", "respond", "replies"}
 HEADER_WORDS = {"header"}
 HAVING = {"with", "has", "no", "without"}  # "content-with-sidebar" is no sidebar
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# a line in one of these is written as text; one in a bare container may be a label
+PROSE = {"blockquote", "caption", "dd", "dt", "figcaption", "li", "p", "pre", "td", "th"}
+BARE, WRITTEN, HEADING = 0, 1, 2
 OPEN, HEADER, SOFT, HARD = 0, 1, 2, 3  # kept; only headings kept; dropped unless an article follows inside; dropped
 
 
@@ -95,12 +100,27 @@ def treatment(name: str, attrs: str) -> int:
     return HEADER if words & HEADER_WORDS else OPEN
 
 
-def block_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines ``(text, length, declared)`` of a page, empty at borders, and whether it declares an article."""
-    lines: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str  # empty at borders
+    length: int
+    declared: bool
+    box: int = 0  # number of the innermost open container
+    kind: int = BARE
+
+
+EMPTY = Line("", 0, False)
+
+
+def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
+    """Lines of a page, whether it declares an article, and its containers ``[parent, first line, end]``.
+
+    Container 0 is the page; its body is no container of its own.
+    """
+    lines: list[Line] = []
+    boxes = [[0, 0, 0]]
     words: list[str] = []  # of the line at hand
     links = 0  # characters of its link text
-    stack: list[list] = []  # open elements: name, treatment
+    stack: list[list] = []  # open elements: name, treatment, container
     declared_depth = link_depth = 0
     declares = False
 
@@ -109,24 +129,34 @@ def block_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             length = len(text) if declared_depth else max(0, len(text) - links)
-            lines.append((text, length, declared_depth > 0))
+            box, kind = stack[-1][2] if stack else 0, BARE
+            for name, _, inside in reversed(stack):
+                if inside != box or name in CONTAINERS and name != "body":
+                    break
+                if name in HEADINGS:
+                    kind = HEADING
+                elif name in PROSE and kind == BARE:
+                    kind = WRITTEN
+            lines.append(Line(text, length, declared_depth > 0, box, kind))
         words.clear()
         links = 0
 
     def border() -> None:
         if lines and lines[-1][0]:
-            lines.extend([("", 0, False)] * WINDOW)
+            lines.extend([EMPTY] * WINDOW)
 
     def close(position: int) -> None:
         nonlocal declared_depth, link_depth
-        for name, _ in stack[position:]:
+        for name, _, box in stack[position:]:
             declared_depth -= name in ("article", "main")
             link_depth -= name == "a"
+            if name in CONTAINERS and name != "body":
+                boxes[box][2] = len(lines)
         del stack[position:]
 
     def kept() -> bool:
-        worst = max((t for _, t in stack), default=OPEN)
-        return worst == OPEN or worst == HEADER and any(n in HEADINGS for n, _ in stack)
+        worst = max((t for _, t, _ in stack), default=OPEN)
+        return worst == OPEN or worst == HEADER and any(n in HEADINGS for n, _, _ in stack)
 
     def add(text: str) -> None:
         nonlocal links
@@ -184,13 +214,19 @@ def block_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             for element in stack:
                 if element[1] in (SOFT, HEADER):
                     element[1] = OPEN
-            if all(t != HARD for _, t in stack):
+            if all(t != HARD for _, t, _ in stack):
                 declares = True
         declared_depth += name in ("article", "main")
         link_depth += name == "a"
-        stack.append([name, how])
+        box = stack[-1][2] if stack else 0
+        if name in CONTAINERS and name != "body":
+            boxes.append([box, len(lines), 0])
+            box = len(boxes) - 1
+        stack.append([name, how, box])
     end_line()
-    return lines, declares
+    close(0)
+    boxes[0][2] = len(lines)
+    return lines, declares, boxes
 
 
 def kept_spans(lengths: list[int], surge: int) -> list[tuple[int, int]]:
@@ -212,14 +248,77 @@ def kept_spans(lengths: list[int], surge: int) -> list[tuple[int, int]]:
     return spans
 
 
+def article(lines: list[Line], boxes: list[list[int]], spans: list[tuple[int, int]]) -> list[int]:
+    """Which lines are the text of a page that declares no article, given its surge spans.
+
+    All lines of a container (or page) that directly holds a line of a span, and all between the
+    first and last span in a container they share; elsewhere between them, and around these up to
+    the first other line, lines written as paragraphs, items, cells or headings. Label lines in
+    bare containers before the text come with a heading before them, if the text has none. A
+    container other than these whose text is all links is a menu, not text.
+    """
+    surged = [i for a, b in spans for i in range(a, b) if lines[i].text]
+    first, last = surged[0], surged[-1]
+    own = {lines[i].box for i in surged}
+    common = lines[first].box
+    while common and boxes[common][2] <= last:
+        common = boxes[common][0]
+    plain = [0] * len(boxes)
+    for x in lines:
+        plain[x.box] += x.length
+    n = len(lines)
+    edges = [0] * (n + 1)  # where containers of spans start and end
+    for b in own:
+        edges[boxes[b][1]] += 1
+        edges[boxes[b][2]] -= 1
+    low, high = min(boxes[b][1] for b in own), max(boxes[b][2] for b in own)
+
+    def menu(x: Line) -> bool:
+        return not plain[x.box] and x.kind != HEADING and x.box not in own
+
+    kept, depth = [], sum(edges[:low])
+    for i in range(low, high):
+        depth += edges[i]
+        x = lines[i]
+        if x.text and (first <= i <= last and (common or 0 in own) or not menu(x) and (depth or x.kind)):
+            kept.append(i)
+    at = len(kept)
+    for i in range(high, n):
+        x = lines[i]
+        if x.text:
+            if menu(x) or x.kind == BARE:
+                while len(kept) > at and lines[kept[-1]].kind == HEADING:  # of what is not text
+                    kept.pop()
+                break
+            kept.append(i)
+    before: list[int] = []
+    labels: list[int] = []
+    titled = any(lines[i].kind == HEADING for i in kept)
+    for i in range(low - 1, -1, -1):
+        x = lines[i]
+        if not x.text:
+            continue
+        if menu(x) or x.kind == BARE and titled:
+            break
+        if x.kind == BARE or labels and x.kind != HEADING:
+            labels.append(i)
+            continue
+        before += [*labels, i]
+        labels = []
+        titled = titled or x.kind == HEADING
+    return before[::-1] + kept
+
+
 def main_text(page: str, surge: int = SURGE) -> str:
     """The main text of one page."""
-    lines, declares = block_lines(page)
+    lines, declares, boxes = block_lines(page)
     if declares:
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+        lines = [x if x.declared else EMPTY for x in lines]
         surge = 1
-    spans = kept_spans([x[1] for x in lines], surge)
-    return "\n\n".join(x[0] for a, b in spans for x in lines[a:b] if x[0])
+    spans = kept_spans([x.length for x in lines], surge)
+    if spans and not declares:
+        return "\n\n".join(lines[i].text for i in article(lines, boxes, spans))
+    return "\n\n".join(x.text for a, b in spans for x in lines[a:b] if x.text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",),

@@ -41,6 +41,36 @@ def test_surge_and_dive_without_a_declared_article():
     assert html_text.main_text(page) == f"Title\n\n{long.strip()}\n\nshort\n\nlast"
 
 
+LONG = "Long sentence of the main text, " * 9
+MENU = "<div id=top><a href=1>one</a> <a href=2>two</a></div><div>menu menu menu</div>"
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("<div><p>{}</p><table><tr><td>Short</td></tr></table><p>Closing line.</p></div>", ["{}", "Short", "Closing line."]),
+    ("<div><div><h1>Title</h1></div><p>{}</p></div>", ["Title", "{}"]),
+    ("<div><div><h1>Title</h1></div><div>By her</div><div><p>{}</p></div></div>", ["Title", "By her", "{}"]),
+    ("<div><h1>T</h1><section><p>One.</p></section><section><p>{}</p></section><section><p>Two.</p></section></div>",
+     ["T", "One.", "{}", "Two."]),
+    ("<div><h1>T</h1><p>{}</p><div>Bare.</div><div><p>{}</p></div><p>End.</p></div>", ["T", "{}", "Bare.", "{}", "End."]),
+    ("<div><h1>T</h1><p>{}</p><table><tr><td><a href=x>X</a></td><td>5</td></tr></table></div>", ["T", "{}", "X", "5"]),
+    ("<div><h1>T</h1><p>{}</p><div><ul><li><a href=x>More</a></ul></div></div>", ["T", "{}"]),
+    ("<section><h2>A</h2><p>Short.</p></section><section><h2>B</h2><p>{}</p></section><section><p>C.</p></section>",
+     ["A", "Short.", "B", "{}", "C."]),
+    ("<h1>T</h1><p>{}</p><table><tr><td>Short</td></tr></table><p>End.</p>", ["T", "{}", "Short", "End."]),
+])
+def test_short_blocks_of_an_undeclared_article_stay(inside, text):
+    menu = "" if inside.startswith("<h1>") else MENU
+    page = f"<body>{menu}{inside.replace('{}', LONG)}<h3>More</h3><div><a href=3>three</a></div></body>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found[:len(text)] == [t.replace("{}", LONG.strip()) for t in text]
+    assert found[len(text):] == ([] if menu else ["More"])  # a page without a container is its own article
+
+
+def test_unclosed_containers():
+    page = "<div><p>x y</p>" * 3000 + f"<p>{LONG}"
+    assert html_text.main_text(page) == "x y\n\n" * 3000 + LONG.strip()
+
+
 def test_distribution():
     assert html_text.kept_spans([0, 5, 5, 0, 0, 0, 200, 0, 10, 0, 0, 0], 120) == [(6, 9)]
     assert html_text.kept_spans([], 120) == []
