@@ -55,7 +55,8 @@ class WordTokenizer:
     the white space and starts anew; the ids of a word are kept. Texts that are
     Latin-1 in lower case are cut as bytes, and also before a full stop or comma
     that ends a word: there the tokenizer starts anew as well, and far fewer
-    words are distinct.
+    words are distinct. Texts that hold one of the file's added tokens, in any
+    case, are encoded whole.
     """
 
     PROBES = ("Ab cd. ef, É\nx", "don't. 5. (a). a.. à, b")
@@ -67,7 +68,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.lib.get_added_tokens_decoder().values()]
         self.young: dict[str | bytes, bytes] = {}
         self.old: dict[str | bytes, bytes] = {}
         if any(self.encode(t) != np.array(self.ids(t), dtype="<u4").tobytes() for t in self.PROBES):
@@ -78,8 +79,11 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without the end id."""
+        lowered = text.lower()
+        if any(t in lowered for t in self.added):
+            return np.array(self.ids(text), dtype="<u4").tobytes()
         try:
-            words = WORD_END.sub(rb"\1 \2", text.lower().encode("latin-1")).replace(b"\n", b" ").split(b" ")
+            words = WORD_END.sub(rb"\1 \2", lowered.encode("latin-1")).replace(b"\n", b" ").split(b" ")
         except UnicodeEncodeError:
             words = text.replace("\n", " ").split(" ")
         young, old = self.young, self.old

@@ -27,6 +27,23 @@ def test_word_tokenizer_equals_the_library(text):
     assert got == LIB.encode(text, add_special_tokens=False).ids
 
 
+AS_READ = Tokenizer.from_file(MODEL)  # unchanged, unlike LIB
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n",
+                                 "Hello", "world.", "É", "漢", "'s", "5"]), max_size=12).map("".join))
+def test_added_tokens_in_a_text_are_those_of_the_library(text):
+    got = np.frombuffer(packing.tokenizer(MODEL).encode(text), "<u4").tolist()
+    assert got == AS_READ.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_documents(spark):
+    text = "hello <|endoftext|> world"
+    got = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING"), MODEL, with_ids=True)
+    assert got.first()["ids"] == [3306, 49407, 1002, 0]
+
+
 def check(lengths, capacity, sequence, offset):
     by = {}
     for n, s, o in zip(lengths, sequence, offset):
