@@ -5,9 +5,11 @@ Sparse multinomial logistic regression on TF-IDF weighted character n-grams
 trained by follow-the-regularised-leader with elastic-net penalties; softmax
 probabilities are calibrated by a temperature found on held-back sample rows.
 
-Document frequencies cover every learnable row. The classifier is fitted on a
-bounded sample: at most ``rows_per_language`` rows of each of the
-``max_languages`` most frequent languages, chosen by a hash of the id.
+Document frequencies cover every learnable row. Every language that labels a
+row with a letter is learned. The classifier is fitted on a bounded sample: at
+most ``rows_per_language`` rows of each language, fewer where that makes more
+than ``max_rows`` in all (but ``LEAST_ROWS``), chosen by a hash of the id.
+Model and fit grow with the number of languages.
 
 A null text, or one without a letter, is ``und`` with score 0. With no
 learnable row (empty tables, only null labels) every row is ``und``. Texts are
@@ -29,6 +31,7 @@ from .linear import FtrlSoftmax, code_points, letter_table, ngram_counts, softma
 BITS = 15
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+LEAST_ROWS = 5  # of a language, however many languages there are
 
 
 @dataclass
@@ -91,24 +94,28 @@ def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return n, out
 
 
-def train(rows: DataFrame, rows_per_language: int = 600, max_languages: int = 64, epochs: int = 3,
+def train(rows: DataFrame, rows_per_language: int = 600, max_rows: int = 38_400, epochs: int = 3,
           ) -> LanguageModel:
     """Learn from ``rows`` (doc_id, text, lang), all of which may be learned from."""
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not top:
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    with_letter = rows.filter(F.col("text").rlike(r"\p{L}"))
+    found = with_letter.groupBy("lang").agg(F.count("*").alias("_count"), F.min(draw).alias("_least")).collect()
+    if not found:
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    languages = sorted(r["lang"] for r in top)
+    languages = sorted(r["lang"] for r in found)
+    number = {name: k for k, name in enumerate(languages)}
+    rows_per_language = min(rows_per_language, max(LEAST_ROWS, max_rows // len(languages)))
     n, df = _document_frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
 
     # a hash of the id thins each language to about twice the bound, a rank then holds the bound
-    keep = F.lit(0.0)
-    for r in top:
-        keep = F.when(F.col("lang") == r["lang"], F.lit(2.0 * rows_per_language / r["count"])).otherwise(keep)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    bounds = rows.sparkSession.createDataFrame(
+        [(r["lang"], 2.0 * rows_per_language / r["_count"], r["_least"]) for r in found],
+        "lang STRING, _keep DOUBLE, _least DOUBLE")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
-    sample = (rows.withColumn("_draw", draw).filter(F.col("_draw") < keep)
+    sample = (with_letter.withColumn("_draw", draw).join(F.broadcast(bounds), "lang")
+              .filter("_draw < _keep OR _draw = _least")
               .withColumn("_rank", rank).filter(F.col("_rank") <= rows_per_language))
 
     def features(batch: pa.RecordBatch) -> dict[str, object]:
@@ -121,26 +128,30 @@ def train(rows: DataFrame, rows_per_language: int = 600, max_languages: int = 64
                     out[k].append(v)
         return out
 
-    found = map_batches(sample.select("text", "lang", "_draw"), features,
-                        "lang string, draw double, at array<int>, tf array<float>")
+    learnable = map_batches(sample.select("text", "lang", "_draw"), features,
+                            "lang string, draw double, at array<int>, tf array<float>")
 
     def fit(table: pa.Table | None) -> LanguageModel:
         order = table.sort_by([("draw", "ascending"), ("lang", "ascending")]) if table is not None else None
         data = [] if order is None else [
-            (at, unit(tf * idf[at]), languages.index(lang)) for at, tf, lang in
+            (at, unit(tf * idf[at]), number[lang]) for at, tf, lang in
             zip(arrays(order.column("at"), "i4"), arrays(order.column("tf"), "f4"), order.column("lang").to_pylist())]
         shuffled = np.random.default_rng(7).permutation(len(data))
         held, learned = shuffled[: len(data) // 5], shuffled[len(data) // 5:]
+        known = {data[k][2] for k in learned}  # no language is only held back
+        only_held = np.array([data[k][2] not in known for k in held], dtype=bool)
+        held, learned = held[~only_held], np.concatenate([learned, held[only_held]])
         model = FtrlSoftmax(1 << BITS, len(languages))
         for _ in range(epochs):
             for k in learned:
                 model.learn(*data[k])
-        weights, bias = model.weights(), model.bias
-        logits = np.array([data[k][1] @ weights[data[k][0]] + bias for k in held]).reshape(len(held), len(languages))
-        return LanguageModel(languages, idf.astype(np.float32), weights.astype(np.float32), bias,
+        bias = model.bias
+        weights = np.concatenate([model.weights(slice(i, i + 1024)).astype(np.float32) for i in range(0, 1 << BITS, 1024)])
+        logits = np.array([data[k][1] @ model.weights(data[k][0]) + bias for k in held]).reshape(len(held), len(languages))
+        return LanguageModel(languages, idf.astype(np.float32), weights, bias,
                              temperature(logits, np.array([data[k][2] for k in held], dtype=int)))
 
-    return fit_in_task(found, rows_per_language * len(languages), fit)
+    return fit_in_task(learnable, rows_per_language * len(languages), fit)
 
 
 def predict(rows: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",

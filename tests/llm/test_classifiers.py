@@ -93,6 +93,22 @@ def test_language_sample_is_bounded(spark):
     assert set(language.train(docs, rows_per_language=5).languages) == {"en", "de"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(700)]  # ten of its own for each language
+
+    def text(k):
+        return " ".join("".join(rng.choices(letters[10 * k: 10 * k + 10], k=5)) for _ in range(20))
+
+    names = [f"l{k:02}" for k in range(70)]
+    docs = [(i, text(i % 70), names[i % 70], "s", 1) for i in range(1400)] + [(9, text(69), "one id", "s", 1)] * 3
+    model = language.train(spark.createDataFrame(docs, DOCUMENTS), rows_per_language=20)
+    assert model.languages == sorted([*names, "one id"])
+    assert all(model.predict(text(k))[0] == names[k] for k in range(69))
+    few = language.train(spark.createDataFrame(docs, DOCUMENTS), max_rows=71)  # LEAST_ROWS of each
+    assert few.languages == model.languages and (few.weights != 0).any(axis=0).all()
+
+
 # -- toxicity --------------------------------------------------------------------------------
 @given_tables
 def test_toxicity_on_held_out_rows(spark):
