@@ -5,7 +5,8 @@ attention cost, the latter the sum of squared piece lengths). Pieces come in
 decreasing length; each goes to the open sequence that stays feasible in every
 capacity and scores best, by the weighted norm of what would remain
 (``norm``) or the weighted dot product of demand and residual (``dot``); a new
-sequence opens only if none is feasible.
+sequence opens only if none is feasible. A piece whose own square exceeds the
+attention cost is a sequence of its own.
 
 A document is cut only if it is longer than a sequence; its full pieces are
 sequences of their own. All other pieces are dealt into groups of about
@@ -177,7 +178,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
         sequence[i] = number[b]
         offset[i] = capacity.tokens - int(left[0, b])
         left[:, b] -= demand
-        if left[0, b] < 1 or left[1, b] < 1:  # full: the last open sequence takes its place
+        if (left[:, b] < 1).any():  # full: the last open sequence takes its place
             n_open -= 1
             left[:, b], number[b] = left[:, n_open], number[n_open]
     return sequence, offset
@@ -186,8 +187,8 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_rows: int = 20_000) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` must be a written table: it is read
     several times, and places in it must not change."""
-    if capacity.attention < capacity.tokens ** 2 or capacity.documents < 1:
-        raise ValueError("a full piece must fit into an empty sequence")
+    if capacity.attention < capacity.tokens or capacity.documents < 1:
+        raise ValueError("even pieces of one token could not fill a sequence")
     place = F.monotonically_increasing_id()
     full = pieces.filter(F.col("length") >= capacity.tokens) \
         .withColumn("sequence_id", -F.lit(1).cast("long") - place).withColumn("offset", F.lit(0).cast("long"))

@@ -69,6 +69,21 @@ def test_every_capacity_holds(lengths, documents, score, attention):
     assert bins <= len(lengths)
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_attention_can_bind(spark, score):
+    capacity = packing.Capacity(tokens=100, attention=2000, score=score)
+    lengths = [60] * 5 + [30] * 20 + [5] * 200  # 60 * 60 > 2000
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id BIGINT, length BIGINT")
+    by = {}
+    for r in packing.pack(pieces, capacity).collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(n for s in by.values() for _, n in s) == sorted(lengths)
+    assert sum(s == [(0, 60)] for s in by.values()) == 5
+    rest = [[n for _, n in s] for s in by.values() if s != [(0, 60)]]
+    assert all(sum(s) <= 100 and sum(n * n for n in s) <= 2000 for s in rest)
+    assert sum(30 in s for s in rest) == 10  # two each; three would fit by tokens
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_few_sequences(score):
     lengths = np.random.default_rng(5).integers(1, 2048, 4000)
