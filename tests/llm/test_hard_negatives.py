@@ -1,0 +1,134 @@
+"""Hard negatives against brute force; cover tree, bounds, blocks and slices, ties, copies, edge rows."""
+
+import random
+
+import numpy as np
+import pytest
+
+from shopmetrics.llm import hard_negatives as hn
+from tests.llm.data import with_clashes
+
+ROWS = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"
+
+
+def by_hand(rows, anchor, k=5, low=80, high=100):
+    usable = set()
+    for i, e, l in rows:
+        if i is None or l is None or e is None or any(x is None or not np.isfinite(x) for x in e):
+            continue
+        usable.add((i, l, tuple(int(x) for x in np.floor(np.array(e, dtype=np.float32).astype(float) * 256))))
+    out = []
+    for i, l, e in sorted(usable):
+        if not anchor(i):
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(e, f)), j, m) for j, m, f in usable if j != i and len(f) == len(e))
+        for p, j, _ in [s for s in scored if s[2] == l][:k]:
+            fit = [(s, v) for s, v, m in scored if m != l and low * -p <= 100 * -s <= high * -p]
+            out += [(i, j, r + 1, v, -p, -s) for r, (s, v) in enumerate(fit[:k])]
+    return sorted(out)
+
+
+def corpus(n=400, size=6):
+    rng = np.random.default_rng(2)
+    hubs = rng.normal(size=(9, size))
+    rows = []
+    for i in range(n):
+        v = hubs[rng.integers(9)] + rng.normal(size=size) * rng.choice([0.01, 0.3])
+        rows.append((i, [float(x) for x in v.astype(np.float32)], int(rng.integers(0, 4))))
+    return rows
+
+
+def odd_rows(rows):
+    """Many copies, an anchor among copies, nulls, repeated ids and rows, other lengths, zero vectors."""
+    v = rows[0][1]
+    more = [(1000 + k, v, k % 3) for k in range(60)] + [(2000 + k, v, 7) for k in range(3)]
+    more += [(3000, None, 1), (3001, v, None), (3002, [float("nan")] + v[1:], 1), (3003, [None] + v[1:], 1),
+             (None, v, 1), (3004, [float("inf")] + v[1:], 1), (3010, [0.0] * 6, 1), (3020, [0.0] * 6, 2)]
+    more += [rows[10], rows[10], (10, rows[11][1], 1), (10, rows[12][1], 2)]
+    more += [(4000 + k, [0.5, -0.25 * (k % 3)], k % 2) for k in range(20)] + [(4100, [], 0), (4110, [], 1), (4120, [], 0)]
+    return rows + more
+
+
+def found(spark, rows, **kw):
+    df = with_clashes(spark.createDataFrame(rows, ROWS))
+    return sorted(tuple(r) for r in hn.hard_negatives(df, "id % 10 = 0", **kw).collect())
+
+
+def test_equals_brute_force(spark):
+    rows = odd_rows(corpus())
+    got = found(spark, rows)
+    assert got == by_hand(rows, lambda i: i % 10 == 0) and len(got) > 100
+
+
+def test_many_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(hn, "BLOCK", 20)
+    monkeypatch.setattr(hn, "SLICE", 7)
+    rows = odd_rows(corpus(250))
+    assert found(spark, rows) == by_hand(rows, lambda i: i % 10 == 0)
+
+
+def test_other_numbers_and_shares(spark):
+    rows = corpus(200)
+    got = found(spark, rows, positives=2, negatives=3, low_percent=50, high_percent=90)
+    want = []
+    for r in by_hand(rows, lambda i: i % 10 == 0, k=200, low=50, high=90):
+        want.append(r)
+    order = {}
+    for a, p, *_ in want:
+        order.setdefault(a, [])
+    scores = {i: np.floor(np.array(e, dtype=np.float32).astype(float) * 256) for i, e, _ in rows}
+    label = {i: l for i, _, l in rows}
+    for a in order:
+        near = sorted((-float(scores[a] @ scores[j]), j) for j in scores if j != a and label[j] == label[a])
+        order[a] = [j for _, j in near[:2]]
+    assert got == sorted(r for r in want if r[1] in order[r[0]] and r[2] <= 3)
+
+
+def test_empty_and_useless_tables(spark):
+    assert found(spark, []) == [] and found(spark, [(10, None, 1), (20, [1.0], None)]) == []
+    assert found(spark, [(10, [1.0], 1), (20, [1.0], 1)]) == []
+
+
+@pytest.mark.parametrize("n,size", [(1, 3), (40, 1), (500, 3), (300, 20)])
+def test_cover_tree(n, size):
+    rng = np.random.default_rng(n)
+    x = np.floor(rng.normal(size=(n, size)) * 100)
+    x[n // 2:] = x[: n - n // 2] if n > 1 else x
+    most = float((x ** 2).sum(axis=1).max())
+    tree = hn.CoverTree(x, most)
+    assert sorted(tree.order.tolist()) == list(range(n))
+    extra = hn.augmented((tree.x ** 2).sum(axis=1), most)
+
+    def under(ball):
+        a, b = tree.points[ball]
+        out = list(range(a, b))
+        for c in range(*tree.balls[ball]):
+            out += under(c)
+        return out
+
+    q = np.floor(rng.normal(size=size) * 100)
+    lower, upper = hn.bounds(tree.centres @ q, float(q @ q), most, tree.radius)
+    for ball in range(len(tree.points)):
+        at = under(ball)
+        own = hn.augmented(np.array((tree.centres[ball] ** 2).sum()), most)
+        d = np.sqrt(((tree.x[at] - tree.centres[ball]) ** 2).sum(axis=1) + (extra[at] - own) ** 2)
+        assert (d <= tree.radius[ball] + 1e-9).all()
+        s = tree.x[at] @ q
+        assert (s >= lower[ball]).all() and (s <= upper[ball]).all()
+    for low, high in ((-hn.FAR, hn.FAR), (0, 5000), (-100, -1)):
+        f = hn.Found(np.array([low]), np.array([high]), 4)
+        tree.search(q, f, [[int(j)] for j in tree.order], np.ones(n, bool), -1)
+        want = sorted((-int(v @ q), j) for j, v in enumerate(x) if low <= int(v @ q) <= high)[:4]
+        assert f.best[0] == want
+
+
+def test_far_balls_are_skipped():
+    rng = random.Random(1)
+    x = np.array([[1000.0 * (k % 10) + rng.randrange(20), rng.randrange(20)] for k in range(2000)])
+    tree = hn.CoverTree(x, float((x ** 2).sum(axis=1).max()))
+    seen = []
+    f = hn.Found(np.array([-hn.FAR]), np.array([hn.FAR]), 5)
+    offer = f.offer
+    f.offer = lambda scores, *more: (seen.append(len(scores)), offer(scores, *more))
+    tree.search(np.array([1.0, 0.0]), f, [[int(j)] for j in tree.order], np.ones(2000, bool), -1)
+    assert sum(seen) < 600
