@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, embedding_links, html_text, language, ngram_join, packing, piece_codec, quality, toxicity, warc)
+from . import (chat, embedding_links, fill_middle, hard_negatives, html_text, language, ngram_join, packing, piece_codec,
+               quality, substrings, toxicity, warc)
 from .common import table
 from .folds import held_out
 
@@ -79,9 +80,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), "id % 100 = 0")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_sentencepiece, op3_html_extraction, op4_language_id, op5_toxicity,
-    op6_embedding_near_dedup, op7_chat_formatting, op8_warc, op9_quality_rules, op10_best_fit_packing)}
+    op6_embedding_near_dedup, op7_chat_formatting, op8_warc, op9_quality_rules, op10_best_fit_packing,
+    op11_fill_in_middle, op12_substring_dedup, op13_hard_negatives)}
 
 #: DuckDB SQL of the queries that SQL can express (added below, where it can).
 ORACLE_SQL: dict[str, str] = {}
@@ -133,3 +151,63 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM u GROUP BY conv_id
 """
+
+ORACLE_SQL["op11_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents),
+h AS (
+  SELECT *, CAST('0x' || digest[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || digest[9:16] AS BIGINT) % (n + 1) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR CAST('0x' || digest[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || digest[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, least(a, b) AS one, greatest(a, b) AS two FROM h),
+c AS (
+  SELECT *, substr(t, 1, one) AS pre, substr(t, one + 1, two - one) AS mid, substr(t, two + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN two - one END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLE_SQL["op12_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS x FROM starts),
+often AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS k FROM windows SEMI JOIN often USING (x)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""

@@ -21,12 +21,12 @@ from tests.oracle_compare import compare, duck
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 TABLE = {1: "documents", 2: "documents", 3: "pages", 4: "documents", 5: "documents", 6: "embeddings", 8: "pages",
-         9: "documents"}
+         9: "documents", 11: "documents", 12: "documents"}
 
 
 def test_one_query_per_operator():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(entry.queries())
 
 
@@ -105,7 +105,7 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, base).count() == 0
     for name, query in queries.QUERIES.items():
         if name in ("op1_ngram_jaccard_join", "op2_sentencepiece", "op4_language_id", "op5_toxicity",
-                    "op9_quality_rules", "op10_best_fit_packing"):
+                    "op9_quality_rules", "op10_best_fit_packing", "op11_fill_in_middle", "op12_substring_dedup"):
             assert query(spark, base).count() == 0, name
 
 
