@@ -35,10 +35,22 @@ def period_start(df: DataFrame, col: str, grain: str = "month") -> Column:
 
 
 def period_text(c: Column | str, grain: str = "month") -> Column:
-    """Period as text: ``yyyy-MM`` for months (the export format), ISO-like otherwise."""
-    fmt = {"year": "yyyy", "quarter": "yyyy-MM", "month": "yyyy-MM", "week": "yyyy-MM-dd",
-           "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:00"}[grain]
-    return F.date_format(F.col(c) if isinstance(c, str) else c, fmt)
+    """Period as text: ``yyyy-MM`` for months (the export format), ISO-like otherwise.
+
+    Built from the value's own fields: ``date_format`` would take a value
+    without a zone through the session's, where an hour may be missing.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    year = F.when(F.year(c).between(0, 9999), F.lpad(F.year(c).cast("string"), 4, "0")).otherwise(F.year(c).cast("string"))
+
+    def two(x: Column) -> Column:
+        return F.lpad(x.cast("string"), 2, "0")
+
+    parts = {"year": [year], "quarter": [year, F.lit("-"), two(F.month(c))],
+             "day": [year, F.lit("-"), two(F.month(c)), F.lit("-"), two(F.dayofmonth(c))]}
+    parts |= {"month": parts["quarter"], "week": parts["day"],
+              "hour": [*parts["day"], F.lit(" "), two(F.hour(c)), F.lit(":00")]}
+    return F.concat(*parts[grain])
 
 
 def month_offset(later: Column | str, earlier: Column | str) -> Column:

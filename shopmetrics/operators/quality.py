@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopmetrics.functions.exact import mean_and_deviation
 from shopmetrics.functions.ratios import exact_mean, pct
 from shopmetrics.functions.sql import ident, lit, one_row_per_key, pct_sql
 
@@ -172,16 +173,9 @@ def stage_integrity(events: DataFrame, session: str | Sequence[str] = "session_i
 
 
 # --------------------------------------------------------------------------- O15, O16
-def _stats(df: DataFrame, value: str) -> tuple[Column, Column]:
-    # One scalar subquery of a struct: both values come from a single pass over
-    # the table and enter the plan as constants, with no join.
-    both = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))).scalar()
-    return both["mean"], both["std"]
-
-
-def _zscore(df: DataFrame, value: str) -> Column:
-    mean, std = _stats(df, value)
-    return (F.col(value) - mean) / F.nullif(std, F.lit(0.0))
+def _zscore(value: str, mean: Column, std: Column) -> Column:
+    # nanvl: a NaN is greater than any number in Spark, and a missing value has no score
+    return F.nanvl((F.col(value) - mean) / F.nullif(std, F.lit(0.0)), F.lit(None).cast("double"))
 
 
 def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "order_id",
@@ -189,11 +183,15 @@ def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "
     """O15 — rows with ``abs(z) > k`` (strict, unrounded z, sample deviation, both
     tails): ``key, value, z_score`` (2 digits), highest z first.
 
-    A zero deviation makes z NULL and drops every row. The outliers (by
+    A NULL or NaN value is missing: it is in neither mean nor deviation and no
+    outlier. A zero deviation makes z NULL and drops every row. Mean and
+    deviation are the same in whatever partitions rows come
+    (``functions.exact``), and so is the strict test on them. The outliers (by
     Chebyshev at most 1/k^2 of the rows) are dealt out before they are sorted:
     a global sort samples its input, and so samples them, not the table again.
     """
-    return (df.withColumn("_z", _zscore(df, value)).where(F.abs(F.col("_z")) > k)
+    mean, std = mean_and_deviation(df, ident(value))
+    return (df.withColumn("_z", _zscore(value, mean, std)).where(F.abs(F.col("_z")) > k)
             .select(key, value, F.round("_z", 2).alias("z_score"))
             .repartition(key)
             .orderBy(F.col("z_score").desc(), F.col(key).asc()))
@@ -201,9 +199,10 @@ def zscore_outliers(df: DataFrame, value: str = "total_sale_price", key: str = "
 
 def outlier_summary(df: DataFrame, value: str = "total_sale_price", k: float = 3.0) -> DataFrame:
     """O16 — one row: ``total_rows, outliers, outlier_pct`` (1 digit),
-    ``mean_value, std_value`` (2 digits)."""
-    mean, std = _stats(df, value)
-    z = (F.col(value) - mean) / F.nullif(std, F.lit(0.0))
+    ``mean_value, std_value`` (2 digits); missing values as in O15, though
+    ``total_rows`` counts every row."""
+    mean, std = mean_and_deviation(df, ident(value))
+    z = _zscore(value, mean, std)
     return (df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.abs(z) > k).alias("outliers"))
             .select("total_rows", "outliers", pct("outliers", "total_rows", 1).alias("outlier_pct"),
                     F.round(mean, 2).alias("mean_value"), F.round(std, 2).alias("std_value")))

@@ -62,3 +62,21 @@ def test_scale_conf_sizes_partitions():
     assert c["spark.sql.adaptive.enabled"] == "true"
     small = scale_conf(10 * 1024**2, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16   # at least two waves of tasks
+
+
+def test_period_text_does_not_pass_through_the_session_zone(spark):
+    hours = [dt.datetime(2024, 3, 10, h) for h in (1, 2, 3)] + [None]  # 02:00 does not exist in Los Angeles
+    df = spark.createDataFrame([(h,) for h in hours], "t TIMESTAMP_NTZ")
+    grains = ("year", "quarter", "month", "week", "day", "hour")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seen = set()
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            seen.add(tuple(df.select(*[period_text(period_start(df, "t", g), g) for g in grains]).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rows = seen.pop()
+    assert not seen
+    assert [tuple(r) for r in rows] == [("2024", "2024-01", "2024-03", "2024-03-04", "2024-03-10", f"2024-03-10 0{h}:00")
+                                        for h in (1, 2, 3)] + [(None,) * 6]

@@ -164,3 +164,38 @@ def test_weighted_distribution(spark):
     df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 2)], "v STRING, n BIGINT")
     rows = quality.value_distribution(df, "v", normalize=True, weight="n").collect()
     assert [tuple(r) for r in rows] == [("a", 5, 0.833), ("b", 1, 0.167)]
+
+
+def test_missing_values_are_no_outliers(spark):
+    values = [50.0] * 40 + [1000.0, -900.0]
+    want = as_dicts(quality.zscore_outliers(_prices(spark, values)))
+    odd = _prices(spark, values + [float("nan"), None])
+    assert as_dicts(quality.zscore_outliers(odd)) == want
+    a, b = (quality.outlier_summary(df).first().asDict() for df in (_prices(spark, values), odd))
+    assert b.pop("total_rows") == 44 and a.pop("total_rows") == 42
+    assert (b.pop("outlier_pct"), a.pop("outlier_pct")) == (4.5, 4.8) and a == b
+    nothing = quality.outlier_summary(_prices(spark, [float("nan")] * 5)).first()
+    assert (nothing["outliers"], nothing["mean_value"], nothing["std_value"]) == (0, None, None)
+    huge = quality.outlier_summary(_prices(spark, [1.0] * 50 + [float("inf")])).first()
+    assert huge["outliers"] == 0 and huge["mean_value"] == float("inf")
+
+
+def test_mean_and_deviation_are_bit_equal_in_any_partitions(spark):
+    import random
+    import statistics
+
+    from shopmetrics.functions.exact import mean_and_deviation
+
+    rng = random.Random(3)
+    values = [rng.choice([1, -1]) * rng.random() * 10 ** rng.choice([-300, -9, -3, 0, 2, 7, 20]) for _ in range(4000)]
+    df = _prices(spark, values)
+    seen = set()
+    for n in (1, 3, 7, 16):
+        mean, std = mean_and_deviation(df.repartition(n, F.rand(n)), "total_sale_price")
+        seen.add(tuple(spark.range(1).select(mean, std).first()))
+    assert len(seen) == 1
+    mean, std = seen.pop()
+    assert abs(mean / statistics.fmean(values) - 1) < 1e-12 and abs(std / statistics.stdev(values) - 1) < 1e-12
+    small = _prices(spark, [0.1, 0.2, 0.3])
+    mean, std = spark.range(1).select(*mean_and_deviation(small, "total_sale_price")).first()
+    assert (mean, std) == (0.2, 0.1) or (abs(mean - 0.2) < 1e-16 and abs(std - 0.1) < 1e-16)
