@@ -28,6 +28,7 @@ from shopmetrics.operators.quality import (
     value_distribution,
     zscore_outliers,
 )
+from shopmetrics.operators.quantiles import exact_quantiles
 from shopmetrics.operators.revenue import (
     order_rollup,
     revenue_trend,
@@ -36,6 +37,14 @@ from shopmetrics.operators.revenue import (
 )
 from shopmetrics.operators.segments import DEFAULT_BOUNDS, DEFAULT_LABELS as DEFAULT_TIER_LABELS, spend_segments
 from shopmetrics.operators.summary import kpi_summary
+from shopmetrics.operators.visitors import (
+    distinct_users,
+    merge_sets,
+    number_users,
+    period_sets,
+    roll_up,
+    visitors_by_grain,
+)
 from shopmetrics.sources.sinks import export_marts
 
 __all__ = [
@@ -45,8 +54,10 @@ __all__ = [
     "cohort_average",
     "cohort_matrix",
     "cohort_retention",
+    "distinct_users",
     "duplicate_key_count",
     "duplicate_keys",
+    "exact_quantiles",
     "export_marts",
     "funnel_by",
     "funnel_by_compact",
@@ -54,18 +65,23 @@ __all__ = [
     "funnel_long",
     "funnel_overall",
     "kpi_summary",
+    "merge_sets",
     "null_audit",
     "null_audit_union",
+    "number_users",
     "order_rollup",
     "orphan_count",
     "outlier_summary",
+    "period_sets",
     "population_profile",
     "revenue_trend",
     "revenue_trend_export",
+    "roll_up",
     "row_counts",
     "spend_segments",
     "stage_integrity",
     "trend_summary",
     "value_distribution",
+    "visitors_by_grain",
     "zscore_outliers",
 ]

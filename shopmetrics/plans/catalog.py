@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.sql import one_row_per_key
-from shopmetrics.operators import cohort, funnel, quality, revenue, segments, summary
+from shopmetrics.operators import cohort, funnel, quality, quantiles, revenue, segments, summary, visitors
 from shopmetrics.sources import testdata as td
+from shopmetrics.sources.scratch import scratch_folder, written
 
 S = td.TEST_STAGES
 VALID = td.TEST_VALID_STATUSES
@@ -191,6 +192,20 @@ def q_order_rollup(spark, d):
     return revenue.order_rollup(td.order_items(spark, d), "order_id", "sale_price")
 
 
+def q_order_value_quantiles(spark, d):
+    """Median, p90 and p99 of order value by the traffic source of the order's user."""
+    source = one_row_per_key(td.users(spark, d), "user_id", ["traffic_source"])
+    orders = td.orders(spark, d).select("user_id", "total_sale_price").join(source, "user_id", "left")
+    return quantiles.exact_quantiles(orders, "total_sale_price", (0.5, 0.9, 0.99), "traffic_source")
+
+
+def q_visitors_by_grain(spark, d):
+    """Visitors per hour, day and month: the last two from the stored hours, without the events."""
+    events, folder = td.events(spark, d).select("user_id", "created_at"), scratch_folder(spark)
+    numbers = written(visitors.number_users(events), folder, "numbers")
+    return visitors.visitors_by_grain(written(visitors.period_sets(events, numbers, "hour"), folder, "hours"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funnel_overall": q_funnel_overall,                      # O01
     "funnel_long": q_funnel_long,                            # O02
@@ -224,4 +239,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "traffic_source_share": q_traffic_source_share,          # O23, normalised
     "population_profile": q_population_profile,              # O24
     "order_rollup": q_order_rollup,                          # O26
+    "order_value_quantiles": q_order_value_quantiles,        # exact quantiles
+    "visitors_by_grain": q_visitors_by_grain,                # mergeable distinct counts
 }

@@ -1,0 +1,109 @@
+"""Exact quantiles against plain Python, whatever the values, groups and limits; plan shape."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from shopmetrics.operators.quantiles import exact_quantiles
+
+PROBS = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
+
+
+def by_hand(values, probs=PROBS):
+    v = sorted(x for x in values if x is not None and not math.isnan(x))
+    out = [len(v)]
+    for p in probs:
+        if not v:
+            out.append(None)
+            continue
+        at = p * (len(v) - 1)
+        a, b = v[math.floor(at)], v[math.ceil(at)]
+        out.append(a if a == b else a * (1 - (at - math.floor(at))) + b * (at - math.floor(at)))
+    return tuple(out)
+
+
+def near(a, b):
+    return a == b or (a is not None and b is not None and abs(a - b) <= 1e-12 * max(abs(a), abs(b)))
+
+
+def check(spark, groups, **kw):
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, "v", PROBS, "g", **kw).collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        want = by_hand(values)
+        assert all(near(a, b) for a, b in zip(got[g], want)), (g, got[g], want)
+
+
+def odd_groups():
+    rng = random.Random(7)
+    inf, nan = float("inf"), float("nan")
+    return {
+        "even": [rng.random() * 1000 for _ in range(800)],
+        "long tail": [rng.lognormvariate(0, 6) for _ in range(900)],
+        "both signs": [rng.choice([1, -1]) * 10 ** rng.uniform(-300, 300) for _ in range(700)],
+        "negative": [-rng.lognormvariate(0, 9) for _ in range(300)],
+        "one value": [4.5] * 500, "mostly one": [1.0] * 400 + [rng.random() for _ in range(150)],
+        "infinite": [-inf] * 30 + [rng.random() for _ in range(90)] + [inf] * 40,
+        "zeros": [0.0] * 200 + [-0.0] * 50 + [1e-320, -1e-320, 5e-324], "two": [1.0, 2.0], "single": [7.25],
+        "none": [None, nan], "missing": [None, nan, 3.0, 4.0], None: [1.0, 5.0, 9.0],
+    }
+
+
+def test_quantiles_of_any_values(spark):
+    check(spark, odd_groups())
+
+
+def test_many_passes(spark):
+    check(spark, odd_groups(), buckets=6, finish=3)
+
+
+def test_whole_table_and_empty_table(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(101)], "v DOUBLE")
+    assert tuple(exact_quantiles(df, "v", (0.5, 0.999)).first()) == (101, 50.0, 99.9)
+    assert exact_quantiles(df, "v", (0.5, 0.999)).columns == ["n", "p50", "p99_9"]
+    assert tuple(exact_quantiles(df.limit(0), "v").first()) == (0, None, None, None)
+    assert exact_quantiles(df.limit(0).withColumn("g", F.lit(1)), "v", by="g").count() == 0
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "v", (1.5,))
+
+
+def test_two_group_columns_and_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", None, 8.0)], "lo STRING, n INT, v DOUBLE")
+    got = sorted((tuple(r) for r in exact_quantiles(df, "v", (0.5,), ["lo", "n"]).collect()), key=str)
+    assert got == sorted([("a", 1, 2, 3.0), ("a", None, 1, 8.0)], key=str)
+
+
+def test_a_hot_group_is_never_sorted_or_gathered(spark, monkeypatch):
+    from shopmetrics.operators import quantiles as q
+    from shopmetrics.plans.inspect import physical_plan
+
+    plans = []
+    real = q.written
+
+    def seen(df, folder, name):
+        out = real(df, folder, name)
+        plans.append((name, physical_plan(df)))
+        return out
+
+    monkeypatch.setattr(q, "written", seen)
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'rest' END AS g", "id * 1.5D AS v")
+    got = {r["g"]: r["p50"] for r in exact_quantiles(df, "v", (0.5,), "g", finish=50).collect()}
+    assert got["hot"] == 1.5 * 3 * 4999.5
+    for name, plan in plans:
+        if name.startswith("state-") and name != "state-0":
+            assert "Window" in plan and "SinglePartition" not in plan, name
+
+
+def test_quantile_plan_reads_two_columns(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS g", "id * 2.0D AS v", "'x' AS other").write.parquet(f"{tmp_path}/t")
+    from shopmetrics.operators import quantiles as q
+    from shopmetrics.plans.inspect import physical_plan
+
+    rows = spark.read.parquet(f"{tmp_path}/t").selectExpr("g AS g0", "v")
+    assert "ReadSchema: struct<g:bigint,v:double>" in physical_plan(rows)
+    assert q.exact_quantiles(spark.read.parquet(f"{tmp_path}/t"), "v", (0.5,), "g").count() == 3
