@@ -51,13 +51,17 @@ def _as_declared(name: str, held: DataType, declared: DataType) -> Column:
     return F.col(name).cast(declared).alias(name)
 
 
+def as_text_schema(declared: StructType) -> StructType:
+    """The schema that CSV is scanned with: whole numbers as text, to be checked."""
+    return StructType([StructField(f.name, StringType() if isinstance(f.dataType, IntegralType) else f.dataType)
+                       for f in declared])
+
+
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     """Read one canonical table from ``path`` (a file or a folder of part files)."""
     declared = TABLES[name]
     if fmt == "csv":
-        as_text = StructType([StructField(f.name, StringType() if isinstance(f.dataType, IntegralType) else f.dataType)
-                              for f in declared])
-        raw = (spark.read.schema(as_text)
+        raw = (spark.read.schema(as_text_schema(declared))
                .option("header", True)
                .option("timestampNTZFormat", TIMESTAMP_FORMAT)
                .option("mode", "FAILFAST")
