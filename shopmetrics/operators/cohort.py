@@ -45,7 +45,11 @@ def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "create
 
     ``status=None`` takes every row as a valid order.
     """
-    counts = _cohort_counts(orders, user, ts, status, status_in, horizon)
+    return retention_cells(_cohort_counts(orders, user, ts, status, status_in, horizon), horizon)
+
+
+def retention_cells(counts: DataFrame, horizon: int) -> DataFrame:
+    """The rows of O06 from one row per cohort: ``cohort_month, c0, c1, ...``."""
     cells = ", ".join(f"{m}, c{m}" for m in range(horizon))
     return (counts.selectExpr("cohort_month", "c0 AS cohort_size",
                               f"stack({horizon}, {cells}) AS (month_number, retained_users)")
@@ -58,14 +62,23 @@ def cohort_retention(orders: DataFrame, user: str = "user_id", ts: str = "create
 def _cohort_counts(orders: DataFrame, user: str, ts: str, status: str | None, status_in: Sequence[str],
                    horizon: int) -> DataFrame:
     """One row per cohort: ``c{m}`` = its users with a valid order ``m`` months later."""
+    pairs = order_months(orders, user, ts, status, status_in).withColumnRenamed(user, "_user")
+    return cohort_counts(pairs.selectExpr("order_month", "min(order_month) OVER (PARTITION BY _user) AS cohort_month"), horizon)
+
+
+def order_months(orders: DataFrame, user: str, ts: str, status: str | None, status_in: Sequence[str]) -> DataFrame:
+    """Distinct ``(user, order_month)`` of valid orders; rows without user or time are left out."""
     src = orders if status is None else valid_orders(orders, status, status_in)
-    pairs = (src.where(f"{ident(user)} IS NOT NULL AND {ident(ts)} IS NOT NULL")
-             .select(F.col(user).alias("_user"), period_start(orders, ts, "month").alias("order_month"))
-             .distinct())
-    offsets = (pairs.selectExpr("order_month", "min(order_month) OVER (PARTITION BY _user) AS cohort_month")
-               .selectExpr("cohort_month",
-                           "CAST((year(order_month) - year(cohort_month)) * 12"
-                           " + (month(order_month) - month(cohort_month)) AS INT) AS month_number")
+    return (src.where(f"{ident(user)} IS NOT NULL AND {ident(ts)} IS NOT NULL")
+            .select(F.col(user), period_start(orders, ts, "month").alias("order_month"))
+            .distinct())
+
+
+def cohort_counts(pairs: DataFrame, horizon: int) -> DataFrame:
+    """One row per cohort, ``c0, c1, ...``, from distinct user months as ``(order_month, cohort_month)``."""
+    offsets = (pairs.selectExpr("cohort_month",
+                                "CAST((year(order_month) - year(cohort_month)) * 12"
+                                " + (month(order_month) - month(cohort_month)) AS INT) AS month_number")
                .where(f"month_number BETWEEN 0 AND {int(horizon) - 1}"))
     # Pairs are distinct, so a plain conditional count is the distinct user count
     # of a cell; grouping by cohort alone gives every cell of a cohort in one row.

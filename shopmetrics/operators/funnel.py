@@ -226,3 +226,43 @@ def funnel_by_device(events: DataFrame, dim: str | Sequence[str] = "device_type"
         f"{pct_sql(f'n{c}', 'n0', 2)} AS overall_conversion_pct",
     )
     return _sorted_by_rate(out, "overall_conversion_pct", dims)
+
+
+def funnel_dimensions(events: DataFrame, dims: Sequence[str], unit: str | Sequence[str] = "user_id",
+                      stages: Sequence[str] = DEFAULT_STAGES, event_col: str = "event_type", overall: bool = True,
+                      lookup: DataFrame | None = None, lookup_key: str | None = None) -> DataFrame:
+    """The funnels of O01 and of O03 by each of ``dims``, from one pass over the events.
+
+    ``dimension, value, users_{s}..., step rates, overall_conversion_pct`` as in
+    O03; ``dimension`` is ``overall`` (value NULL) or a column's name, and values
+    are text. Events are reduced to one row per unit and combination of
+    dimensions first; grouping sets then copy only those rows, once per funnel.
+    ``lookup`` supplies those of ``dims`` that events lack, keyed by ``lookup_key``.
+    """
+    dims, units, stages = list(dims), _dims(unit), list(stages)
+    if not dims or "overall" in dims:
+        raise ValueError("funnel_dimensions needs dimensions, none of them named 'overall'")
+    via = [] if lookup is None else [d for d in dims if d not in events.columns]
+    if via and lookup_key is None:
+        raise ValueError("lookup_key is required with lookup")
+    own = [d for d in dims if d not in via]
+    flags = [_flag_max(event_col, unit, s, f"f{i}") for i, s in enumerate(stages)]
+    names = {**{u: f"_u{i}" for i, u in enumerate(units)}, **({lookup_key: "_k"} if via and lookup_key not in units else {})}
+    per_unit = events.groupBy(*[F.col(c).alias(n) for c, n in names.items()],
+                              *[F.col(d).cast("string").alias(f"_d{dims.index(d)}") for d in own]).agg(*flags)
+    if via:
+        key = names[lookup_key]
+        dim = one_row_per_key(lookup, lookup_key, via).select(
+            F.col(lookup_key).alias(key), *[F.col(d).cast("string").alias(f"_d{dims.index(d)}") for d in via])
+        per_unit = per_unit.join(dim, key, "left")
+    us, ds = [names[u] for u in units], [f"_d{i}" for i in range(len(dims))]
+    sets = ([us] if overall else []) + [[*us, d] for d in ds]
+    of_unit = per_unit.groupingSets([[F.col(c) for c in x] for x in sets], *us, *ds).agg(
+        *[F.max(f"f{i}").alias(f"f{i}") for i in range(len(stages))], *[F.grouping(d).alias(f"_out{d}") for d in ds])
+    which = " ".join(f"WHEN _out{d} = 0 THEN {lit(name)}" for d, name in zip(ds, dims))
+    counts = (of_unit.selectExpr(f"CASE {which} ELSE 'overall' END AS dimension", f"coalesce({', '.join(ds)}) AS value",
+                                 *[f"f{i}" for i in range(len(stages))])
+              .groupBy("dimension", "value").agg(*_sums(len(stages))))
+    last = len(stages) - 1
+    return counts.selectExpr("dimension", "value", *[f"n{i} AS {ident(f'users_{s}')}" for i, s in enumerate(stages)],
+                             *_step_rates(stages), f"{pct_sql(f'n{last}', 'n0', 2)} AS overall_conversion_pct")

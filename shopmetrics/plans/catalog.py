@@ -53,6 +53,13 @@ def q_funnel_by_device(spark, d):
     return funnel.funnel_by_device(td.events(spark, d), "device_type", unit=SESSION, stages=S)
 
 
+def q_funnel_dimensions(spark, d):
+    """Overall, by traffic source and by device, in one pass over the events."""
+    users = td.users(spark, d).select("user_id", "traffic_source")
+    return funnel.funnel_dimensions(td.events(spark, d), ["traffic_source", "device_type"], unit=SESSION, stages=S,
+                                    lookup=users, lookup_key="user_id")
+
+
 def q_cohort_retention(spark, d):
     return cohort.cohort_retention(td.orders(spark, d), status_in=VALID)
 
@@ -212,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funnel_by_source": q_funnel_by_source,                  # O03
     "funnel_by_source_compact": q_funnel_by_source_compact,  # O04
     "funnel_by_device": q_funnel_by_device,                  # O05
+    "funnel_dimensions": q_funnel_dimensions,                # O01, O03 and O05's counts in one pass
     "cohort_retention": q_cohort_retention,                  # O06
     "cohort_matrix": q_cohort_matrix,                        # O07
     "cohort_average": q_cohort_average,                      # O08

@@ -1,0 +1,65 @@
+"""Cohorts kept between runs equal one full run; only touched cohorts are rewritten."""
+
+import datetime as dt
+import os
+import random
+
+from shopmetrics.operators.cohort import cohort_retention
+from shopmetrics.operators.cohort_state import CohortState
+from tests.fixtures import orders
+
+
+def _rows(rng, first, months, n, users):
+    out = []
+    for k in range(n):
+        at = dt.datetime(2023, first, 1) + dt.timedelta(days=rng.randrange(28 * months))
+        out.append((k, rng.choice([None, 1]) if rng.random() < 0.2 else rng.randrange(users),
+                    rng.choice(["Complete", "Shipped", "Returned", "Cancelled", None]), 5.0, at))
+    return out
+
+
+def _files(path):
+    return {d: sorted(os.listdir(f"{path}/members/{d}")) for d in os.listdir(f"{path}/members") if "=" in d}
+
+
+def test_increments_equal_one_full_run(spark, tmp_path):
+    rng = random.Random(4)
+    parts = [_rows(rng, 3, 2, 300, 80), _rows(rng, 5, 2, 300, 120), _rows(rng, 1, 8, 120, 200)]  # the last with late orders
+    state = CohortState(spark, str(tmp_path / "state"), horizon=12)
+    assert state.retention().collect() == []
+    seen = []
+    for part in parts:
+        assert state.add(orders(spark, part)) > 0
+        seen += part
+        assert state.retention().collect() == cohort_retention(orders(spark, seen)).collect()
+    before = state.retention().collect()
+    state.add(orders(spark, parts[1]))  # the same orders again
+    assert state.retention().collect() == before
+    assert state.add(orders(spark, parts[0]).limit(0)) == 0 and state.retention().collect() == before
+
+
+def test_a_cohort_can_lose_its_last_user(spark, tmp_path):
+    state = CohortState(spark, str(tmp_path / "state"))
+    one = [(1, 7, "Complete", 1.0, "2023-05-01 00:00:00"), (2, 8, "Complete", 1.0, "2023-06-01 00:00:00")]
+    late = [(3, 7, "Complete", 1.0, "2023-02-01 00:00:00")]
+    state.add(orders(spark, one))
+    assert state.add(orders(spark, late)) == 2
+    rows = [(r["cohort_month"].month, r["month_number"], r["retained_users"]) for r in state.retention().collect()]
+    assert rows == [(2, 0, 1), (2, 3, 1), (6, 0, 1)]
+
+
+def test_untouched_cohorts_keep_their_files(spark, tmp_path):
+    state = CohortState(spark, str(tmp_path / "state"))
+    state.add(orders(spark, [(i, i, "Complete", 1.0, f"2023-0{1 + i % 4}-05 00:00:00") for i in range(40)]))
+    old = _files(state.path)
+    state.add(orders(spark, [(100, 900, "Complete", 1.0, "2023-03-09 00:00:00"), (101, 2, "Shipped", 1.0, "2023-04-09 00:00:00")]))
+    new = _files(state.path)
+    assert old.keys() == new.keys() and len(old) == 4
+    assert sum(old[d] != new[d] for d in old) == 1  # March gains user 900, and user 2 belongs to it
+
+
+def test_retention_reads_counts_alone(spark, tmp_path):
+    state = CohortState(spark, str(tmp_path / "state"))
+    state.add(orders(spark, [(1, 1, "Complete", 1.0, "2023-01-05 00:00:00")]))
+    files = state.retention().inputFiles()
+    assert files and all("/cells/" in f for f in files)

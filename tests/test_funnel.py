@@ -196,3 +196,30 @@ def test_overall_rows_from_per_source_counts(spark):
     counts = funnel.stage_counts(ev, ["traffic_source"], "user_id", funnel.DEFAULT_STAGES)
     got = funnel.long_rows(counts.agg(*funnel.stage_totals(funnel.DEFAULT_STAGES))).collect()
     assert got == funnel.funnel_long(ev).collect()
+
+
+def test_several_funnels_from_one_pass(spark):
+    seen = [(1, "home", "m"), (1, "home", "d"), (1, "cart", "d"), (2, "home", "m"), (2, "purchase", "m"), (3, "home", None),
+            (3, "category", None), (None, "home", "t"), (4, "product", "m"), (4, "home", "m"), (6, "home", "m")]
+    ev = events(spark, [(s, s and s % 5, t, "2024-01-01 00:00:00", d, None) for s, t, d in seen]).drop("traffic_source")
+    users = spark.createDataFrame([(1, "Email"), (2, "Search"), (3, None)], "user_id BIGINT, traffic_source STRING")
+    got = funnel.funnel_dimensions(ev, ["traffic_source", "device_type"], "session_id", lookup=users, lookup_key="user_id")
+    rows = [tuple(r) for r in got.collect()]
+    joined = ev.join(users, "user_id", "left")
+    for dim in ("traffic_source", "device_type"):
+        want = [tuple(r) for r in funnel.funnel_by(joined, dim, "session_id").collect()]
+        assert sorted((r[1:] for r in rows if r[0] == dim), key=str) == sorted(want, key=str)
+    whole = tuple(funnel.funnel_overall(ev, "session_id").first())
+    assert [r[2:] for r in rows if r[0] == "overall"] == [whole]
+    no_overall = funnel.funnel_dimensions(ev, ["device_type"], "session_id", overall=False)
+    assert {r["dimension"] for r in no_overall.collect()} == {"device_type"}
+
+
+def test_several_funnels_read_events_once(spark, tmp_path):
+    from shopmetrics.plans.inspect import node_names
+
+    ev = events(spark, [(1, 1, "home", "2024-01-01 00:00:00", "m", "Email")])
+    ev.write.parquet(f"{tmp_path}/ev")
+    nodes = node_names(funnel.funnel_dimensions(spark.read.parquet(f"{tmp_path}/ev"), ["traffic_source", "device_type"]))
+    assert nodes.count("Scan") == 1 and nodes.count("Expand") == 1
+    assert "HashAggregate" in nodes[nodes.index("Expand"):]  # only reduced rows are copied

@@ -1,0 +1,81 @@
+"""The stored layout: same results, no shuffle of the large side, months pruned."""
+
+import random
+
+import pytest
+
+from shopmetrics.operators import cohort, funnel
+from shopmetrics.plans.inspect import physical_plan
+from shopmetrics.sources.layout import between_months, store_by_user
+from tests.fixtures import events, orders
+
+BUCKETS = 8
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    rng = random.Random(2)
+    ev = events(spark, [(rng.randrange(300), rng.randrange(60), rng.choice(funnel.DEFAULT_STAGES),
+                         f"2024-0{rng.randrange(1, 5)}-03 10:00:00", "mobile", None) for _ in range(900)]).drop("traffic_source")
+    od = orders(spark, [(i, 3 if i % 3 == 0 else rng.randrange(60), "Complete", 2.0, f"2024-0{rng.randrange(1, 5)}-09 00:00:00")
+                        for i in range(500)])
+    us = spark.createDataFrame([(i, rng.choice(["Email", "Search", None])) for i in range(60)], "user_id BIGINT, traffic_source STRING")
+    names = {"ev": (ev, "created_at"), "od": (od, "created_at"), "us": (us, None)}
+    out = {n: (df, store_by_user(df, f"layout_{n}", f"{tmp_path}/{n}", BUCKETS, ts=ts)) for n, (df, ts) in names.items()}
+    yield out
+    for n in names:
+        spark.sql(f"DROP TABLE IF EXISTS layout_{n}")
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _above_scan(df, table: str) -> list[str]:
+    """Names of the plan's nodes from its root down to the scan of a table."""
+    tree = [(len(x) - len(x.lstrip(" :+-")), x.lstrip(" :+-")) for x in physical_plan(df).split("\n\n")[0].splitlines()[1:]]
+    at = next(i for i, (_, x) in enumerate(tree) if x.startswith("Scan") and table in x)
+    depth, out = tree[at][0], []
+    for d, x in reversed(tree[:at]):
+        if d < depth:
+            out.append(x)
+            depth = d
+    return out[::-1]
+
+
+def test_cohorts_read_buckets_without_a_shuffle(spark, stored):
+    plain, table = stored["od"]
+    assert cohort.cohort_retention(table).collect() == cohort.cohort_retention(plain).collect()
+    nodes = _above_scan(cohort.cohort_retention(table), "layout_od")
+    window = max(i for i, x in enumerate(nodes) if "Window" in x)
+    assert not any("Exchange" in x for x in nodes[window:])
+
+
+def test_source_funnel_joins_buckets_without_a_shuffle(spark, stored, sorted_joins):
+    args = dict(unit="user_id", lookup_key="user_id", unit_determines_key=True)
+    want = funnel.funnel_by(stored["ev"][0], lookup=stored["us"][0], **args)
+    got = funnel.funnel_by(stored["ev"][1], lookup=stored["us"][1], **args)
+    assert got.collect() == want.collect()
+    for table in ("layout_ev", "layout_us"):
+        nodes = _above_scan(got, table)
+        join = max(i for i, x in enumerate(nodes) if "SortMergeJoin" in x)
+        assert not any("Exchange" in x for x in nodes[join:]), table
+
+
+def test_a_range_of_months_is_pruned(spark, stored):
+    plain, table = stored["od"]
+    part = between_months(table, "2024-02", "2024-03")
+    assert part.count() == plain.where("month(created_at) IN (2, 3)").count() > 0
+    assert "PartitionFilters: [isnotnull(month" in physical_plan(part)
+    assert len(part.inputFiles()) < len(table.inputFiles())
+
+
+def test_rows_and_columns_survive(spark, stored, tmp_path):
+    plain, table = stored["od"]
+    assert sorted(map(tuple, table.drop("month").collect())) == sorted(map(tuple, plain.collect()))
+    with pytest.raises(ValueError):
+        store_by_user(table, "layout_again", f"{tmp_path}/again", BUCKETS)
