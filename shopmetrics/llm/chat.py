@@ -154,15 +154,28 @@ def unknown_layouts(turns: DataFrame) -> DataFrame:
 # -- template ---------------------------------------------------------------------------------
 CONTROL = re.compile(r"([\\#<:])")
 ESCAPED = re.compile(r"\\(.)", re.S)
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*) </turn>\n", re.S)
+# possessive: a text is passed once and never given back, whatever its length
+TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\< ]++|\\.| (?!</turn>\n))*+) </turn>\n", re.S)
+
+
+CHUNK = 1 << 20  # characters rewritten at one time
 
 
 def escape(text: str) -> str:
-    return CONTROL.sub(r"\\\1", text)
+    return "".join(CONTROL.sub(r"\\\1", text[at: at + CHUNK]) for at in range(0, len(text), CHUNK))
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1", text)
+    """``escape`` undone, piece by piece; no piece ends between a backslash and what it escapes."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        piece = text[at:end]
+        if (len(piece) - len(piece.rstrip("\\"))) % 2:
+            end += 1
+        parts.append(ESCAPED.sub(r"\1", text[at:end]))
+        at = end
+    return "".join(parts)
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:

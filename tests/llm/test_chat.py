@@ -82,3 +82,47 @@ def test_unknown_records_are_counted(spark):
     assert chat.format_turns(turns, ("id", "part")).count() == 2
     report = {r["layout"]: r["records"] for r in chat.fingerprint_report(records.where("id < 2"), "record").collect()}
     assert report == {"prompt_completion": 1}
+
+
+def test_a_very_long_text_is_read_back_in_one_pass():
+    import time
+    import tracemalloc
+
+    from shopmetrics.llm import chat
+
+    text = ("word <b>: \\ # </turn>\n ### " * 800_000)[:20_000_000]
+    formatted, a, b = chat.format_turn("assistant", text)
+    tracemalloc.start()
+    began = time.time()
+    assert chat.read_back(formatted) == [("assistant", text)]
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def test_spaces_before_the_end_of_a_turn():
+    from shopmetrics.llm import chat
+
+    for text in ("", " ", "  ", "a ", " </turn>\n", "</turn>", "\\", "\\ ", " \\", "a\n", "### x: y </turn>\n"):
+        for role in ("user", "assistant", "", "a: b", ":"):
+            both = chat.format_turn(role, text)[0] + chat.format_turn("user", "next")[0]
+            assert chat.read_back(both) == [(role, text), ("user", "next")]
+    for broken in ("### user: a</turn>\n", "### user: a </turn>", "### user: a < </turn>\n", "### user: a\\ </turn>\n"):
+        try:
+            chat.read_back(broken)
+        except ValueError:
+            continue
+        raise AssertionError(broken)
+
+
+def test_pieces_never_part_an_escape(monkeypatch):
+    import random
+
+    from shopmetrics.llm import chat
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("\\\\#<:a \n") for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [chat.escape(t) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(chat, "CHUNK", size)
+        assert [chat.escape(t) for t in texts] == want
+        assert [chat.unescape(t) for t in want] == texts
