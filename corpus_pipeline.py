@@ -7,6 +7,7 @@ the labelled rows of the tables in ``sf_dir``, as in the operators' queries.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shopmetrics.llm import ngram_join, packing, quality, toxicity
 from shopmetrics.llm.common import table, written
@@ -14,6 +15,9 @@ from shopmetrics.llm.folds import held_out
 from shopmetrics.llm.queries import WORD_MODEL
 
 
+ROW = "_near_duplicate_row"  # id and digest of the text
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model; all columns."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -30,10 +34,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; all columns.
 
-    Rows without id are not compared and stay.
+    Rows are told apart by id and text, so different texts under one id are
+    different documents; rows that repeat both are one. Rows without id are not
+    compared and stay.
     """
-    kept = ngram_join.ngram_jaccard_join(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    digest = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
+    rows = docs.filter("doc_id IS NOT NULL").withColumn(ROW, F.struct("doc_id", digest.alias("text")))
+    kept = ngram_join.ngram_jaccard_join(rows, ROW).filter("kept").select(ROW).distinct()
+    stay = rows.join(kept, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 
 
