@@ -132,3 +132,42 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300, capture_output=True)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+
+def _prose(seed, n=80):
+    import random
+
+    from tests.llm.data import words
+
+    return " ".join(words(random.Random(seed), n))
+
+
+def test_different_texts_under_one_id_both_stay(spark):
+    a, b, c = _prose(1), _prose(2), _prose(3)
+    rows = [(5, a), (5, b), (3, b + " more"), (7, a), (9, c), (9, c), (9, c + " end"), (8, None), (8, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    # class {a at 5, a at 7}, class {b + more at 3, b at 5}, class of c at 9; texts without words are compared with none
+    want = [(5, a), (3, b + " more"), (9, c), (8, ""), (None, a), (None, a)]
+    kept = sorted(((i, t) for i, t in got if i != 9 and t), key=str)
+    assert kept == sorted(((i, t) for i, t in want if i != 9 and t), key=str)
+    assert len([1 for i, _ in got if i == 9]) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs, "").columns == docs.columns
+
+
+def test_a_labelled_id_that_repeats_counts_once(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = base.join(labels.filter("toxic = 1").select("doc_id"), "doc_id").orderBy("doc_id").collect()
+    clean_id = labels.filter("toxic = 0").agg(F.min("doc_id")).first()[0]
+    clean = base.filter(F.col("doc_id") == clean_id).limit(1)
+    hot = clean.crossJoin(spark.range(8000)).drop("id").select(base.columns).unionByName(base)
+    for train, label in ((toxicity.train, "toxic"), (quality.train, "quality")):
+        one, two = train(hot.repartition(1), labels), train(base, labels)
+        assert one is not None and two is not None
+        texts = [r["text"] for r in toxic[:5]] + [r["text"] for r in clean.collect()]
+        score = (lambda m, t: m.score(t)) if label == "toxic" else (lambda m, t: quality.judge(t, m)[-2])
+        assert [score(one, t) for t in texts] == [score(two, t) for t in texts]
