@@ -236,8 +236,9 @@ def _node(text):
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """``(node, lo, hi)``: first words of repeated windows of ``(node, text)``, from ``lo`` to ``hi``."""
-    seeds = (map_batches(texts.select("text"), _seeds, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-             .filter("n > 1").select("seed"))
+    # written: a join of two plain shuffles, which Spark can split where a seed is hot
+    seeds = written(map_batches(texts.select("text"), _seeds, "seed long, n long").groupBy("seed")
+                    .agg(F.sum("n").alias("n")).filter("n > 1").select("seed"), "seeds")
     found = map_batches(texts.select("node", "text"), _anchors, "node binary, lo int, hi int, seed long, stretch long")
     shared = written(found.join(seeds, "seed"), "shared-anchors")
     stretches = written(shared.groupBy("seed", "stretch").agg(
