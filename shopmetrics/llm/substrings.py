@@ -252,7 +252,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
               .groupBy("node").agg(F.collect_list("w").alias("at")))
     windows = written(map_batches(texts.select("node", "text").join(wanted, "node").select("node", "text", "at"), _windows,
                                   "node binary, seed long, window long, start int, alone boolean"), "windows")
-    twice = windows.groupBy("seed", "window").agg(F.count("*").alias("n")).filter("n > 1").select("seed", "window")
+    twice = written(windows.groupBy("seed", "window").agg(F.count("*").alias("n")).filter("n > 1").select("seed", "window"),
+                    "repeated-windows")
     single = windows.filter("alone").join(twice, ["seed", "window"]).select(
         "node", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return whole.unionByName(single)
