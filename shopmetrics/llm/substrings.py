@@ -50,6 +50,7 @@ SEED = 10
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 22  # bytes of a text split into words at one time
+PLACES = 1 << 20  # places of neighbouring runs of words that are compared at one time
 WORDS = 1 << 20  # words whose hashes are remembered
 
 
@@ -126,6 +127,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_places(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least element of every ``width`` neighbours stands, the leftmost of equal ones.
+
+    Elements are compared by their upper bits; the lower ones hold the place, so
+    minima over twice as many neighbours are minima of two overlapping minima.
+    """
+    least = (x & ~np.uint64(PLACES - 1)) | np.arange(len(x), dtype=np.uint64)
+    span = 1
+    while 2 * span <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span:])
+    return (least & np.uint64(PLACES - 1)).astype(np.int64)
+
+
 def anchors(runs: Runs, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Anchors of a text: first and last window that each stands for, its hash, hash of its stretch."""
     n = runs.n - window + 1
@@ -135,10 +152,9 @@ def anchors(runs: Runs, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndar
     grams = mixed(runs.all(seed))
     wide = window - seed + 1
     place = np.empty(n, dtype=np.int64)
-    for a in range(0, n, 1 << 18):
-        b = min(n, a + (1 << 18))
-        views = np.lib.stride_tricks.sliding_window_view(grams[a: b + wide - 1], wide)
-        place[a:b] = views.argmin(axis=1) + np.arange(a, b)
+    for a in range(0, n, PLACES // 2):
+        b = min(n, a + PLACES // 2)
+        place[a:b] = a + least_places(grams[a: b + wide - 1], wide)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:] - 1, n - 1)
     place = place[first]

@@ -87,3 +87,11 @@ def test_runs_tell_positions_apart():
     two = runs.all(2)
     assert two[0] == two[2] and two[1] == two[4] and len({int(x) for x in two}) == 3
     assert runs.of(np.array([0]), np.array([2]))[0] == two[0]
+
+
+def test_least_places():
+    rng = np.random.default_rng(9)
+    for width in (1, 2, 3, 7, 8, 26):
+        x = rng.integers(0, 9, 300).astype(np.uint64) << np.uint64(40)  # many ties
+        want = [k + int(x[k: k + width].argmin()) for k in range(len(x) - width + 1)]
+        assert sub.least_places(x, width).tolist() == want
