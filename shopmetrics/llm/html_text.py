@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,10 +38,11 @@ SURGE = 120
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]++|=)*+)>"
                    r"|</?[a-zA-Z][^<>]*\Z", re.S)
+# behind the last ">" of a page: what runs to its end
+TAIL = re.compile(r"<[!?].*|</?[a-zA-Z][^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # their content is not markup: it ends at the next end tag of the same name
-RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg",
-       "math"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -58,6 +60,11 @@ DROPPED_WORDS = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "
                  "notice", "notices", "pager", "pagination", "popup", "promo", "recommended", "related", "search",
                  "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
                  "toolbar", "widget", "widgets"}
+# inside a declared article only whole names count: "share-price" or "related-work" are its own
+ARTICLE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "promo", "comment",
+                 "comments", "comment-list", "comments-area", "disqus", "respond", "replies", "cookie-notice",
+                 "cookie-banner", "notice", "notices", "newsletter", "newsletter-signup", "subscribe", "signup",
+                 "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination"}
 COMMENT_WORDS = {"comment", "comments", "disqus", "respond", "replies"}
 HEADER_WORDS = {"header"}
 HAVING = {"with", "has", "no", "without"}  # "content-with-sidebar" is no sidebar
@@ -72,8 +79,8 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if "=" in text else {}
 
 
-def treatment(name: str, attrs: str) -> int:
-    """How the text inside an element is treated."""
+def treatment(name: str, attrs: str, inside: bool = False) -> int:
+    """How the text inside an element is treated; ``inside``: it lies in a declared article."""
     if name in DROPPED:
         return HARD
     if name == "header":
@@ -86,6 +93,9 @@ def treatment(name: str, attrs: str) -> int:
         return HARD
     if found.get("role", "").lower() in DROPPED_ROLES:
         return HARD
+    if inside:
+        names = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+        return HARD if names & ARTICLE_WORDS else HEADER if names & HEADER_WORDS else OPEN
     words: set[str] = set()  # first and last part of each class name or id: what it is or where it is
     for label in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
         parts = [p for p in re.split(r"[_\-]+", label) if p]
@@ -120,8 +130,14 @@ def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
     boxes = [[0, 0, 0]]
     words: list[str] = []  # of the line at hand
     links = 0  # characters of its link text
-    stack: list[list] = []  # open elements: name, treatment, container
-    declared_depth = link_depth = 0
+    stack: list[list] = []  # open elements: name, treatment, container, kind of a line in it
+    # of the open elements: how many of a name and of a treatment, where those are that an article opens, and that
+    # end a search for an open paragraph or item; all kept up to date, so no step walks the whole stack
+    names: Counter[str] = Counter()
+    treated = [0, 0, 0, 0]
+    opened_by_article: list[int] = []
+    stops: list[int] = []
+    declared_depth = link_depth = heading_depth = 0
     declares = False
 
     def end_line() -> None:
@@ -129,14 +145,7 @@ def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             length = len(text) if declared_depth else max(0, len(text) - links)
-            box, kind = stack[-1][2] if stack else 0, BARE
-            for name, _, inside in reversed(stack):
-                if inside != box or name in CONTAINERS and name != "body":
-                    break
-                if name in HEADINGS:
-                    kind = HEADING
-                elif name in PROSE and kind == BARE:
-                    kind = WRITTEN
+            box, kind = (stack[-1][2], stack[-1][3]) if stack else (0, BARE)
             lines.append(Line(text, length, declared_depth > 0, box, kind))
         words.clear()
         links = 0
@@ -146,17 +155,22 @@ def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
             lines.extend([EMPTY] * WINDOW)
 
     def close(position: int) -> None:
-        nonlocal declared_depth, link_depth
-        for name, _, box in stack[position:]:
+        nonlocal declared_depth, link_depth, heading_depth
+        for name, how, box, _ in stack[position:]:
+            names[name] -= 1
+            treated[how] -= 1
             declared_depth -= name in ("article", "main")
             link_depth -= name == "a"
+            heading_depth -= name in HEADINGS
             if name in CONTAINERS and name != "body":
                 boxes[box][2] = len(lines)
         del stack[position:]
+        for places in (opened_by_article, stops):
+            while places and places[-1] >= position:
+                places.pop()
 
     def kept() -> bool:
-        worst = max((t for _, t, _ in stack), default=OPEN)
-        return worst == OPEN or worst == HEADER and any(n in HEADINGS for n, _, _ in stack)
+        return not treated[HARD] and not treated[SOFT] and (not treated[HEADER] or heading_depth > 0)
 
     def add(text: str) -> None:
         nonlocal links
@@ -166,13 +180,17 @@ def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
                 links += len(text.strip())
 
     at, n = 0, len(page)
+    last = page.rfind(">") + 1
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+        m = TOKEN.search(page, at, last) if at < last else None
+        if m is None:  # no whole tag is left
+            m = TAIL.search(page, max(at, last))
+            add(page[at: m.start() if m else n])
             break
         add(page[at: m.start()])
         at = m.end()
+        if page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            break  # a comment that is never closed
         name = (m[2] or "").lower()
         if not name:
             continue
@@ -180,49 +198,60 @@ def block_lines(page: str) -> tuple[list[Line], bool, list[list[int]]]:
         if m[1]:  # an end tag closes the nearest open element of its name
             if name in BLOCKS:
                 end_line()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in CONTAINERS and kept():
-                        border()
-                    close(i)
-                    break
+            if names[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                if name in CONTAINERS and kept():
+                    border()
+                close(i)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if not attrs.endswith("/"):
+            if name != "svg" or not attrs.endswith("/"):  # only foreign elements close themselves
                 at = end.end() if end else n
             continue
         if name in BLOCKS:
             end_line()
             # a block start ends an open paragraph, an item an open item
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(stops):
                 if stack[i][0] == "p" or name == "li" and stack[i][0] == "li":
                     close(i)
                     break
-                if stack[i][0] in CONTAINERS or stack[i][0] in ("ul", "ol"):
+                if stack[i][0] != "li":
                     break
             if name == "body":
                 close(0)
         elif name == "br":
             words.append(" ")
-        how = treatment(name, attrs)
+        how = treatment(name, attrs, declared_depth > 0)
         if name in CONTAINERS and how == OPEN and kept():
             border()
-        if name in VOID or attrs.endswith("/"):
+        if name in VOID:  # a slash closes no other element
             continue
         if name in ("article", "main") and how == OPEN:
-            for element in stack:
-                if element[1] in (SOFT, HEADER):
-                    element[1] = OPEN
-            if all(t != HARD for _, t, _ in stack):
-                declares = True
+            for i in opened_by_article:
+                treated[stack[i][1]] -= 1
+                stack[i][1] = OPEN
+                treated[OPEN] += 1
+            opened_by_article.clear()
+            declares = declares or not treated[HARD]
         declared_depth += name in ("article", "main")
         link_depth += name == "a"
+        heading_depth += name in HEADINGS
+        names[name] += 1
+        treated[how] += 1
+        if how in (SOFT, HEADER):
+            opened_by_article.append(len(stack))
+        if name in CONTAINERS or name in ("p", "li", "ul", "ol"):
+            stops.append(len(stack))
+        kind = HEADING if name in HEADINGS else WRITTEN if name in PROSE else BARE
+        kind = BARE if name in CONTAINERS and name != "body" else max(kind, stack[-1][3] if stack else BARE)
         box = stack[-1][2] if stack else 0
         if name in CONTAINERS and name != "body":
             boxes.append([box, len(lines), 0])
             box = len(boxes) - 1
-        stack.append([name, how, box])
+        stack.append([name, how, box, kind])
     end_line()
     close(0)
     boxes[0][2] = len(lines)

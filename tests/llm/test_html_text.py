@@ -97,3 +97,29 @@ def test_given_pages_equal_brute_force(spark):
 
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=("url", "html")).collect():
         assert r["text"] == brute(r["html"]) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p class="share-price">a</p><div class="search-theory">b</div><section id="related-work">c</section>'
+     '<section id="legal"><p>d</p></section><div class="table-header">e</div></article>', "a\n\nb\n\nc\n\nd\n\ne"),
+    ('<article><p>x</p><div class="comments">no</div><div class="ad wide">no</div><div id="newsletter">no</div>'
+     '<p>y</p></article>', "x\n\ny"),
+    ("<article><p>the value <math><mi>x</mi></math> is</p></article>", "the value x is"),
+    ("<article><script src=a.js/>alert(1)</script><style/>p{}</style><p>x</p></article>", "x"),
+    ("<article><p>x</p><aside data-u=/x/>side</aside><p>y</p></article>", "x\n\ny"),
+    ("<article><p>x</p><svg/><p>y</p><svg><text>no</text></svg></article>", "x\n\ny"),
+    ("<article><p>x</p><!-- open > <p>no</p> no", "x"), ("<article><p>x 1 < 2 <b", "x 1 < 2"),
+    ("<article><p>x</p> a < b <? no", "x\n\na < b"), ("no tags at all <", "no tags at all <"),
+])
+def test_more_cases(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b>", "<b>x ", "<div>x ", "<a ", "<a href='x' ", "</i>x<b>", "<article>", "<b><p>x ", "<li><b>x",
+                                  "<div class=ad>", "<header>x", "<!-", "< ", "<p><b>x</p>", "<a =\"", "</x", "<section id=nav><main>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<body><p>text</p>" + part * (200_000 // len(part)))
+    assert time.process_time() - began < 5  # seconds; most of them well under one
