@@ -4,11 +4,17 @@ Vectors are scaled to unit length; equal vectors are one node. Many random
 one-dimensional projections are taken. Some of them, in groups of ``keys``,
 are cut into ranges (randomly shifted): vectors that share all ranges of a
 group meet in a bucket. In a bucket, every counting projection is sorted, a
-window of ``WINDOW`` is centred on each vector, and a pair scores a collision
-wherever one lies in the other's window. Pairs with at least the
-recall-calibrated number of collisions are candidates: they become star edges,
-their components clusters, and all pairs of a cluster are verified by cosine
-in double precision (``linking``).
+window is centred on each vector, and a pair scores a collision wherever one
+lies in the other's window. Pairs with at least the recall-calibrated number
+of collisions are candidates: they become star edges, their components
+clusters, and all pairs of a cluster are verified by cosine in double
+precision (``linking``).
+
+Only a node's digest and its counting projections, one byte each, travel to
+its buckets; the vectors themselves meet in clusters of candidates alone.
+Rounding to steps widens a window, so it loses no collision. Collisions are
+counted over the first half of the projections, and over the second half for
+rows that still have a candidate.
 
 ``groups_for`` gives the number of groups at which a pair at the threshold
 meets with the target probability. ``keys`` grows with the logarithm of the
@@ -33,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, map_batches, written
-from .linking import STAR, classes, in_blocks, link_clusters, map_groups, star_rows, task_pairs
+from .linking import BLOCK, STAR, classes, in_blocks, link_clusters, map_groups, star_rows, task_pairs
 
 COSINE = 0.95
 RECALL = 0.999
-RANGE = 1.0  # width of a key range; projections of unit vectors have deviation 1
-COUNTING = 24  # counting projections
+RANGE = 2.0  # width of a key range; projections of unit vectors have deviation 1
+COUNTING = 48  # counting projections
+FIRST = 24  # of them, counted for every pair of a bucket
 BUCKET = 200  # unrelated vectors wanted in a bucket
 
 
@@ -58,8 +65,8 @@ def same_range(cosine: float) -> float:
 
 
 def keys_for(nodes: int, most: int) -> int:
-    """Projections in a group: unrelated vectors share one range with about 0.27."""
-    return max(1, min(most, math.ceil(math.log(max(1.0, nodes / BUCKET)) / -math.log(0.27))))
+    """Projections in a group, so that a bucket holds about ``BUCKET`` unrelated vectors."""
+    return max(1, min(most, math.ceil(math.log(max(1.0, nodes / BUCKET)) / -math.log(same_range(0.0)))))
 
 
 def groups_for(cosine: float, recall: float, keys: int) -> int:
@@ -72,15 +79,23 @@ def window_for(cosine: float) -> float:
     return 1.5 * distance(cosine)
 
 
-def least_collisions(cosine: float, recall: float) -> int:
-    """The largest count that a pair at the threshold reaches with the target recall (binomial)."""
+def step_for(cosine: float) -> float:
+    """Width of a step of a counting projection: 127 steps reach four deviations or more."""
+    return max(window_for(cosine) / 15, 4 / 127)
+
+
+def least_collisions(cosine: float, recall: float, projections: int = COUNTING) -> int:
+    """The largest count that a pair at the threshold reaches with the target recall (binomial).
+
+    Windows grow with the distance at the threshold, so it is the same for every cosine.
+    """
     p = 2 * normal_cdf(1.5) - 1
     reached = 1.0
-    for k in range(COUNTING + 1):
-        reached -= math.comb(COUNTING, k) * p ** k * (1 - p) ** (COUNTING - k)
+    for k in range(projections + 1):
+        reached -= math.comb(projections, k) * p ** k * (1 - p) ** (projections - k)
         if reached < recall:
             return k
-    return COUNTING
+    return projections
 
 
 @cache
@@ -110,18 +125,34 @@ def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def steps(x: np.ndarray, cosine: float) -> np.ndarray:
+    """The counting projections of unit vectors in whole steps, a byte each."""
+    places = np.floor(x @ directions(x.shape[1], COUNTING, 1) / step_for(cosine))
+    return np.clip(places, -127, 127).astype(np.int8)
+
+
+def half_window(cosine: float) -> int:
+    """Half-width of a window in steps: places round down, so it grows by a step."""
+    return int(window_for(cosine) / step_for(cosine)) + 1
+
+
 def collisions(x: np.ndarray, cosine: float) -> np.ndarray:
-    """For every pair of rows, in how many counting projections one lies in the other's window."""
-    n, half = len(x), window_for(cosine)
-    projected = np.ascontiguousarray((x @ directions(x.shape[1], COUNTING, 1)).T)
+    """For every pair of unit vectors, in how many counting projections one lies in the other's window."""
+    return counted(steps(x, cosine).T, half_window(cosine))
+
+
+def counted(lines: np.ndarray, half: int) -> np.ndarray:
+    """Collisions of every pair of columns over the projections, one a row."""
+    n = lines.shape[1]
+    lines = lines.astype(np.int16)
     if n <= 48:  # sorting would cost more than it saves
-        return (np.abs(projected[:, :, None] - projected[:, None, :]) <= half).sum(axis=0, dtype=np.uint8)
+        return (np.abs(lines[:, :, None] - lines[:, None, :]) <= half).sum(axis=0, dtype=np.uint8)
     count = np.zeros((n, n), dtype=np.uint8)
-    for p in projected:
+    for p in lines:
         order = np.argsort(p, kind="stable")
         line = p[order]
-        low = np.searchsorted(line, line - half, "left").astype(np.uint16)
-        width = np.searchsorted(line, line + half, "right").astype(np.uint16) - low
+        low = np.searchsorted(line, line - np.int16(half), "left").astype(np.uint16)
+        width = np.searchsorted(line, line + np.int16(half), "right").astype(np.uint16) - low
         place = np.empty(n, dtype=np.uint16)  # tasks hold two blocks at most
         place[order] = np.arange(n, dtype=np.uint16)
         # unsigned: a place before the window's start wraps to a large number
@@ -129,6 +160,20 @@ def collisions(x: np.ndarray, cosine: float) -> np.ndarray:
     return count
 
 
+def candidates(places: np.ndarray, cosine: float, recall: float) -> np.ndarray:
+    """Which pairs of rows of ``steps`` reach the calibrated counts of collisions."""
+    half = half_window(cosine)
+    lines = np.ascontiguousarray(places.T)
+    count = counted(lines[:FIRST], half)
+    near = count >= least_collisions(cosine, recall, FIRST)
+    np.fill_diagonal(near, False)
+    at = np.flatnonzero(near.any(axis=1))
+    if len(at):
+        both = np.ix_(at, at)
+        near[both] &= count[both] + counted(lines[FIRST:, at], half) >= least_collisions(cosine, recall)
+    return near
+
+
 def vectors(group: pa.Table, column: str = "unit", kind: str = "<f8") -> np.ndarray:
     return np.frombuffer(b"".join(group.column(column).to_pylist()), dtype=kind).reshape(group.num_rows, -1)
 
@@ -147,9 +192,8 @@ def embedding_links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
                                f"`{id_col}` {kind}, node binary, unit binary"), "vectors")
     nodes = written(base.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(id_col).alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-nodes")
-    keys = keys_for(nodes.count(), 16)
+    keys = keys_for(nodes.count(), 24)
     groups = groups_for(cosine, recall, keys)
-    need = least_collisions(cosine, recall)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,20 +212,23 @@ def embedding_links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
                     bucket = [xxhash.xxh3_64_intdigest(c) for c in cell.reshape(-1, keys + 2)]
                     row = pa.array(np.repeat(rows, groups))
                     each = pa.array(np.repeat(np.arange(len(rows)), groups))
-                    short = pa.array([v.tobytes() for v in x.astype("<f4")]).take(each)
+                    places = pa.array([v.tobytes() for v in steps(x, cosine)]).take(each)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(row), short, pa.array(np.array(bucket, dtype=np.uint64).view(np.int64))],
-                        ["node", "short", "bucket"])
+                        [part.column(0).take(row), places, pa.array(np.array(bucket, dtype=np.uint64).view(np.int64))],
+                        ["node", "places", "bucket"])
 
-    spread = map_arrow(nodes.select("node", "unit"), ranges, "node binary, short binary, bucket long")
-    sizes = spread.select("bucket").groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    met = spread.join(sizes, "bucket")
+    spread = written(map_arrow(nodes.select("node", "unit"), ranges, "node binary, places binary, bucket long"),
+                     "vector-buckets")
+    # written, so that Spark knows the size of the few large buckets when it plans the join with them
+    large = written(spread.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK),
+                    "vector-large-buckets")
+    met = spread.join(large, "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
 
     def count(group: pa.Table) -> dict[str, object] | None:
-        x = vectors(group, "short", "<f4").astype(np.float64)
-        return star_rows(group, (collisions(x, cosine) >= need) & task_pairs(group))
+        return star_rows(group, candidates(vectors(group, "places", "i1"), cosine, recall) & task_pairs(group))
 
-    stars = map_groups(in_blocks(met, "bucket", "node", "size"), count, STAR).filter("node != root")
+    stars = written(map_groups(in_blocks(met, "bucket", "node", "size"), count, STAR).filter("node != root"),
+                    "vector-candidates")
 
     def contents(members: DataFrame) -> DataFrame:
         return members.join(nodes.select("node", "weight", "unit"), "node")
