@@ -7,6 +7,8 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_run: ContextVar[str | None] = ContextVar("scratch_run", default=None)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside the block share a folder, removed at its end.
+
+    Results are lazy and read those tables, so write them before the block
+    ends. Bucketed tables (operator 12) leave their name in the catalog; it is
+    dropped as well. Blocks may nest; a failure inside still clears the folder.
+    """
+    name = f"shopmetrics-run-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        for t in spark.catalog.listTables():
+            if t.name.startswith("texts_") and f"/{name}/" in _location(spark, t.name):
+                spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE FORMATTED `{name}`").filter("col_name = 'Location'").collect()
+    return rows[0]["data_type"] if rows else ""
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/shopmetrics-{name}-{uuid.uuid4().hex}"
+    return f"{_run.get() or shared_dir(spark)}/shopmetrics-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -104,6 +104,31 @@ QUERIES = {f.__name__: f for f in (
 #: DuckDB SQL of the queries that SQL can express (added below, where it can).
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+                                                     lambda k: array_to_string(w[k:k + 4], ' ')))) AS gram
+  FROM t WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 5 * c.n >= 4 * (p.n + q.n - c.n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT l.doc_id, l.class_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.doc_id = l.class_id AS kept
+FROM least l LEFT JOIN degree d ON d.doc_id = l.doc_id
+"""
+
 ORACLE_SQL["op8_warc"] = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

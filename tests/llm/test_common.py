@@ -1,8 +1,11 @@
 """Written tables and the folder they lie in."""
 
+import os
+
 import pytest
 
-from shopmetrics.llm import common
+from shopmetrics.llm import common, substrings
+from tests.llm.data import DOCUMENTS, edge_rows
 
 
 class _Conf(dict):
@@ -40,3 +43,23 @@ def test_filter_rows_keeps_columns_and_treats_null_as_empty(spark):
     df = spark.createDataFrame([(1, "keep", [1.5]), (2, None, None), (3, "drop", [])], "id INT, text STRING, v ARRAY<DOUBLE>")
     assert common.filter_rows(df, "text", lambda t: t != "drop").collect() == df.where("id < 3").collect()
     assert common.filter_rows(df.limit(0), "text", bool).columns == df.columns
+
+
+def test_a_scratch_run_leaves_nothing_behind(spark):
+    outside = common.written(spark.range(3), "outside")
+    docs = spark.createDataFrame(edge_rows(), DOCUMENTS)
+    tables = {t.name for t in spark.catalog.listTables()}
+    with common.scratch_run(spark) as folder:
+        path = folder.removeprefix("file://")
+        with common.scratch_run(spark) as inner:
+            one = common.written(spark.range(5), "inner")
+            assert one.count() == 5 and os.path.isdir(inner.removeprefix("file://"))
+        assert not os.path.exists(inner.removeprefix("file://"))
+        rows = substrings.remove_repeats(docs).collect()
+        assert len(rows) == len(edge_rows()) and os.listdir(path)
+    assert not os.path.exists(path)
+    assert {t.name for t in spark.catalog.listTables()} == tables and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), common.scratch_run(spark) as failed:
+        common.written(spark.range(2), "failed")
+        1 / 0
+    assert not os.path.exists(failed.removeprefix("file://"))
