@@ -53,8 +53,9 @@ class PieceCodec:
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
+        self.raw_of = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -102,17 +103,15 @@ class PieceCodec:
     def longest_from(self, text: str) -> list[int]:
         """For each position, the end of the longest entry starting there (at least one on)."""
         ends = list(range(1, len(text) + 1))
-        for end, piece in self.automaton.iter(text):
-            start = end + 1 - len(piece)
-            if end + 1 > ends[start]:
-                ends[start] = end + 1
+        for last, back in self.automaton.iter(text):  # by rising end, so the longest comes last
+            ends[last - back] = last + 1
         return ends
 
     def tokens(self, text: str) -> list[str]:
         """The encoding of one chunk, as strings; unknown characters stand alone."""
         if text in self.rank and self.merged(text) == [text]:
             return [text]
-        ends, known, n = self.longest_from(text), self.id_of, len(text)
+        ends, known, n, fit = self.longest_from(text), self.id_of, len(text), self.compatible.get
         failed = 0  # bit p: no valid encoding of text[p:] after any accepted left side
         out: list[str] = []
         pos, end = 0, ends[0]
@@ -120,7 +119,7 @@ class PieceCodec:
             while end > pos:
                 piece = text[pos:end]
                 if ((end == pos + 1 or piece in known) and not failed >> end & 1
-                        and (not out or self.fits(out[-1], piece))):
+                        and (not out or fit((out[-1], piece)) or self.fits(out[-1], piece))):
                     break
                 end -= 1
             if end > pos:
@@ -136,11 +135,15 @@ class PieceCodec:
         return out
 
     def chunk_ids(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for t in self.tokens(chunk):
-            i = self.id_of.get(t)
-            ids.extend((i,) if i is not None else (self.byte_ids[b] for b in t.encode()))
-        return np.array(ids, dtype="<u4").tobytes()
+        found = self.tokens(chunk)
+        try:
+            return b"".join([self.raw_of[t] for t in found])
+        except KeyError:  # a character that is no piece: its bytes
+            ids: list[int] = []
+            for t in found:
+                i = self.id_of.get(t)
+                ids.extend((i,) if i is not None else (self.byte_ids[b] for b in t.encode()))
+            return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """All ids of a whole text with begin and end id, as little-endian 32-bit integers."""
