@@ -138,16 +138,18 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Counting is combined before its shuffle. The join back has one row per
     repeated payload on its other side, so Spark can split a payload that a
-    third of all pages share.
+    third of all pages share. Shorter payloads go around the join.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("_sha1", F.when(F.length("payload") >= min_bytes, F.sha1("payload")))
-    shared = (rows.filter("_sha1 IS NOT NULL").groupBy("_sha1")
-              .agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
+    large = F.length("payload") >= min_bytes
+    hashed = rows.filter(large).withColumn("_sha1", F.sha1("payload"))
+    shared = (hashed.groupBy("_sha1").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
               .filter("_n > 1 AND _first IS NOT NULL").select("_sha1", "_first"))
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")), F.col("_first"))
-    return rows.join(shared, "_sha1", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    joined = hashed.join(shared, "_sha1", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    short = rows.filter(~large).withColumn("refers_to", F.lit(None).cast(rows.schema["page_id"].dataType))
+    return joined.unionByName(short)
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
