@@ -5,9 +5,11 @@ of scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts
 and reader comments vanish, and the border of every other container becomes empty
 lines. Text lengths are summed over sliding windows of ``WINDOW`` lines:
 where the sum surges over a threshold a span of main text starts, where it
-dives to zero the span ends. A page that declares its article (``article``,
-``main``) has only its lines there, and then any text is a surge: the lines of
-the spans are the text. Elsewhere a span must hold a window of ``SURGE``
+dives to zero the span ends. The distribution of the whole page judges what a
+page declares as its article (``article``, ``main``): unless its lines nowhere
+surge and surging text elsewhere is ``HINT`` times as long (teasers beside the
+article), they alone are kept, and then any text is a surge: the lines of the
+spans are the text. Else, and on pages that declare none, a span must hold a window of ``SURGE``
 characters (half the highest window on pages that never reach twice that), a
 line counts without its link text, and the spans locate the article: short
 lines of its containers and paragraphs around it are text too (``article``).
@@ -33,6 +35,7 @@ from .common import map_batches, texts
 
 WINDOW = 3
 SURGE = 120
+HINT = 3  # a declared article is given up for this many times as much text elsewhere
 
 # comments, declarations, tags (a quote opens a value only after "="), and a tag cut off by the page's end
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -338,9 +341,19 @@ def article(lines: list[Line], boxes: list[list[int]], spans: list[tuple[int, in
     return before[::-1] + kept
 
 
+def teasers(lines: list[Line], surge: int) -> bool:
+    """Whether the declared lines nowhere surge, while surging text elsewhere is ``HINT`` times as long."""
+    surging = [x for a, b in kept_spans([x.length for x in lines], surge) for x in lines[a:b]]
+    inside = sum(x.length for x in lines if x.declared)
+    return (inside > 0 and not any(x.declared for x in surging)
+            and sum(x.length for x in surging) >= max(HINT * inside, surge))
+
+
 def main_text(page: str, surge: int = SURGE) -> str:
     """The main text of one page."""
     lines, declares, boxes = block_lines(page)
+    if declares and teasers(lines, surge):
+        lines, declares = [EMPTY if x.declared else x for x in lines], False
     if declares:
         lines = [x if x.declared else EMPTY for x in lines]
         surge = 1

@@ -123,3 +123,14 @@ def test_hostile_pages_take_linear_time(part):
     began = time.process_time()
     html_text.main_text("<body><p>text</p>" + part * (200_000 // len(part)))
     assert time.process_time() - began < 5  # seconds; most of them well under one
+
+
+def test_the_distribution_judges_a_declared_article():
+    body = "".join(f"<p>{'A sentence of the story. ' * 8}</p>" for _ in range(4))
+    story = "\n\n".join([("A sentence of the story. " * 8).strip()] * 4)
+    teaser = "<article><h3>Other story</h3><p>A line of it.</p></article>"
+    page = f"<body><div class=x>{teaser}{teaser}</div><div>{body}</div>{teaser}</body>"
+    assert html_text.main_text(page) == story  # teasers beside the story
+    assert html_text.main_text(f"<body><article>{body}</article><div>{body * 5}</div></body>") == story  # it surges
+    assert html_text.main_text("<body><article><p>Short.</p></article><div><p>Also short, but longer.</p></div></body>") == "Short."
+    assert html_text.main_text(f"<body><article></article><div>{body}</div></body>") == ""  # declared and empty
