@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.sql import one_row_per_key
 from shopmetrics.operators import cohort, funnel, quality, quantiles, revenue, segments, summary, visitors
+from shopmetrics.operators.cohort_state import CohortState
 from shopmetrics.sources import testdata as td
+from shopmetrics.sources.convert import bad_record_counts, convert_csv, observed_counts
 from shopmetrics.sources.scratch import scratch_folder, written
 
 S = td.TEST_STAGES
@@ -64,6 +66,16 @@ def q_cohort_retention(spark, d):
     return cohort.cohort_retention(td.orders(spark, d), status_in=VALID)
 
 
+def q_cohort_retention_kept(spark, d):
+    """O06 from cohorts kept between three runs: the orders of 1995 and 1996, those since (or undated), and
+    last, late, the earlier ones, which move most users to other cohorts."""
+    orders, state = td.orders(spark, d), CohortState(spark, f"{scratch_folder(spark)}/cohorts", status_in=VALID)
+    year = F.year("created_at")
+    for run in (year.between(1995, 1996), (year > 1996) | year.isNull(), year < 1995):
+        state.add(orders.where(run))
+    return state.retention().orderBy("cohort_month", "month_number")
+
+
 def q_cohort_matrix(spark, d):
     return cohort.cohort_matrix(q_cohort_retention(spark, d))
 
@@ -84,6 +96,19 @@ def q_null_audit(spark, d):
                                       "orders": td.orders(spark, d, nulls=True)})
 
 
+def q_converted_orders(spark, d):
+    """Row, NULL and bad-row counts observed while orders are converted from CSV: the number of items of a
+    pending order is a fraction there, which the declared schema cannot take."""
+    folder = scratch_folder(spark)
+    raw = td.orders(spark, d).selectExpr(
+        "order_id", "user_id", "status", "CASE WHEN status = 'P' THEN CAST(total_sale_price AS STRING) ELSE '1' END AS num_of_item",
+        "total_sale_price", "created_at", "nullif(priority, '1-URGENT') AS traffic_source")
+    raw.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/csv")
+    found = [convert_csv(spark, f"{folder}/csv", f"{folder}/orders", "orders", "quarantine")]
+    bad = bad_record_counts(spark, found).selectExpr("table_name", "'(bad rows)' AS column_name", "bad_rows AS n")
+    return observed_counts(spark, found, ("orders",)).unionByName(bad)
+
+
 def q_duplicate_keys(spark, d):
     return quality.duplicate_keys(td.events(spark, d), (*SESSION, "event_type"), limit=20)
 
@@ -221,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funnel_by_device": q_funnel_by_device,                  # O05
     "funnel_dimensions": q_funnel_dimensions,                # O01, O03 and O05's counts in one pass
     "cohort_retention": q_cohort_retention,                  # O06
+    "cohort_retention_kept": q_cohort_retention_kept,        # O06, cohorts kept between runs
     "cohort_matrix": q_cohort_matrix,                        # O07
     "cohort_average": q_cohort_average,                      # O08
     "null_audit_union": q_null_audit_union,                  # O09
@@ -249,4 +275,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_rollup": q_order_rollup,                          # O26
     "order_value_quantiles": q_order_value_quantiles,        # exact quantiles
     "visitors_by_grain": q_visitors_by_grain,                # mergeable distinct counts
+    "converted_orders": q_converted_orders,                  # CSV scan: O10 and O22 observed, bad rows set aside
 }
