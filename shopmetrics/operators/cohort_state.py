@@ -1,14 +1,16 @@
 """Cohort retention kept up to date from new orders alone (O06 between runs).
 
-Two tables lie under ``path``, both partitioned by cohort month: ``members`` holds
-the distinct months in which each user of the cohort ordered, ``cells`` the counts
-per cohort. New orders are reduced to distinct user months; only users among them can
+Two tables lie under ``path``: ``members``, partitioned by cohort month, holds
+the distinct months in which each user of the cohort ordered; ``cells`` gets a row of counts
+per changed cohort and run, of which the newest of a cohort holds. New orders are reduced to distinct user months; only users among them can
 change. A late order may move a user to an earlier cohort. The cohorts that
 gain, lose or hold such a user are rewritten, all others stay as they are
 (dynamic partition overwrite). Earlier orders are never read again.
 
-Adding the same orders twice changes nothing, so a run that died half way is simply
-repeated. A cohort that lost its last user keeps a row without user, which no
+Adding the same orders twice changes nothing. Counts are appended before members are
+replaced, so a run that died before or between these two is simply repeated; one that
+died while partitions were being replaced may have lost earlier months of moved users, and
+the state is built anew. A cohort that lost its last user keeps a row without user, which no
 reader counts; it makes Spark overwrite the partition. Orders can be added, not taken back.
 """
 
@@ -41,9 +43,14 @@ class CohortState:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        (df.repartition("cohort_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("cohort_month").parquet(f"{self.path}/{name}"))
+    def _replace_members(self, df: DataFrame) -> None:
+        # rebalance: small cohorts share a task, a cohort with a large share of all users is split
+        (df.hint("rebalance", "cohort_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("cohort_month").parquet(f"{self.path}/members"))
+
+    def _cells(self) -> DataFrame:
+        counts = ", ".join(f"c{m} BIGINT" for m in range(self.horizon))
+        return self._stored("cells", StructType.fromDDL(f"cohort_month TIMESTAMP_NTZ, {counts}, run BIGINT"))
 
     def members(self, kind: str = "BIGINT") -> DataFrame:
         """``(_user, order_month, cohort_month)``, a row per user and month with a valid order."""
@@ -68,13 +75,17 @@ class CohortState:
         empty = cohorts.select(F.lit(None).cast(new.schema["_user"].dataType).alias("_user"),
                                F.lit(None).cast("timestamp_ntz").alias("order_month"), "cohort_month")
         now = written(after.unionByName(others.select(after.columns)).unionByName(empty), folder, "now")
-        self._write(now, "members")
         counts = cohort_counts(now.where("_user IS NOT NULL"), self.horizon)
-        self._write(cohorts.join(counts, "cohort_month", "left"), "cells")
+        cells = self._cells()
+        run = (cells.agg(F.max("run")).first()[0] or 0) + 1
+        (cohorts.join(counts, "cohort_month", "left").withColumn("run", F.lit(run).cast("long"))
+         .select(cells.columns).coalesce(1).write.mode("append").parquet(f"{self.path}/cells"))
+        self._replace_members(now)
         return cohorts.count()
 
     def retention(self) -> DataFrame:
         """The rows of O06, from the stored counts: neither orders nor members are read."""
-        counts = ", ".join(f"c{m} BIGINT" for m in range(self.horizon))
-        cells = self._stored("cells", StructType.fromDDL(f"{counts}, cohort_month TIMESTAMP_NTZ"))
+        counts = [f"c{m}" for m in range(self.horizon)]
+        cells = (self._cells().groupBy("cohort_month").agg(F.max_by(F.struct(*counts), "run").alias("newest"))
+                 .select("cohort_month", "newest.*"))
         return retention_cells(cells.where("c0 > 0"), self.horizon)

@@ -67,11 +67,11 @@ def q_cohort_retention(spark, d):
 
 
 def q_cohort_retention_kept(spark, d):
-    """O06 from cohorts kept between three runs: the orders of 1995 and 1996, those since (or undated), and
-    last, late, the earlier ones, which move most users to other cohorts."""
+    """O06 from cohorts kept between two runs: the orders since 1998 (or undated), and then, late, the
+    earlier ones, which move most users to other cohorts."""
     orders, state = td.orders(spark, d), CohortState(spark, f"{scratch_folder(spark)}/cohorts", status_in=VALID)
     year = F.year("created_at")
-    for run in (year.between(1995, 1996), (year > 1996) | year.isNull(), year < 1995):
+    for run in ((year >= 1998) | year.isNull(), year < 1998):
         state.add(orders.where(run))
     return state.retention().orderBy("cohort_month", "month_number")
 
